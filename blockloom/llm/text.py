@@ -75,15 +75,21 @@ def word_text(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data, offsets, _ASCII_WORD[data]
 
 
+class Runs:
+    """Mixed hashes of data[start:end] for many pairs; equal contents have equal hashes."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = powers(len(data) + 1)
+        self.sums = np.empty(len(data) + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=self.sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
 def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed hash of data[start:end] for each pair; equal contents have equal hashes."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return Runs(data).hashes(starts, ends) if len(starts) else np.empty(0, np.uint64)
 
 
 def words(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
