@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, tables, token_counts, toxicity, warc
+from . import decontamination, html_text, mixing, tables, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     rows = toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
@@ -42,6 +46,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op4_warc": op4_warc,
     "op6_main_text": op6_main_text,
@@ -49,7 +54,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
+#: Distinct five-word shingles (id, g) of the rows of a table.
+SHINGLES = """
+        {0}_words AS (SELECT {1} AS id, regexp_extract_all(lower(text), '[\\pL\\pN\\pM_]+') AS w FROM {0}),
+        {0}_shingles AS (SELECT DISTINCT id, array_to_string(w[r.i:r.i + 4], ' ') AS g FROM {0}_words, unnest(range(1, len(w) - 3)) AS r(i))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH {SHINGLES.format("documents", "doc_id")}, {SHINGLES.format("benchmark", "item_id")},
+        sizes AS (SELECT id, count(*) AS n FROM benchmark_shingles GROUP BY id),
+        held AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS k FROM documents_shingles d JOIN benchmark_shingles b USING (g) GROUP BY ALL)
+        SELECT doc_id, item_id, n::INT AS item_shingles, k::INT AS found_shingles, k::DOUBLE / n AS containment
+        FROM held JOIN sizes ON item_id = id WHERE k >= 0.8 * n""",
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
