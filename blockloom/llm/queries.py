@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, mixing, tables, token_counts, toxicity, warc
+from . import decontamination, html_text, mixing, near_text, tables, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.jaccard_links(_read(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_warc": op4_warc,
     "op6_main_text": op6_main_text,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
 }
@@ -74,6 +79,16 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND top <> page_id THEN top END AS refers_to
         FROM w""",
+    "op7_jaccard_join": f"""
+        WITH RECURSIVE {SHINGLES.format("documents", "doc_id")},
+        s AS (SELECT * FROM documents_shingles UNION ALL SELECT id, array_to_string(w, ' ') FROM documents_words WHERE len(w) BETWEEN 1 AND 4),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        held AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+        pairs AS (SELECT a, b, k = x.n AND k = y.n AS same FROM held JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.8 * (x.n + y.n - k)),
+        reach(id, x) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON reach.x = pairs.a),
+        class AS (SELECT id, min(x) AS c FROM reach GROUP BY id)
+        SELECT d.doc_id, least(d.doc_id, min(b) FILTER (same)) AS copy_of, count(b) AS n_links, any_value(c) AS class_id, any_value(c) = d.doc_id AS kept
+        FROM documents d JOIN class ON class.id = d.doc_id LEFT JOIN pairs ON a = d.doc_id GROUP BY d.doc_id""",
     "op9_mix_sources": """
         WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
         rates AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM counts) * (SELECT sum(n) FROM counts)::DOUBLE / n AS mean FROM counts),

@@ -131,3 +131,14 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[n
         total += hashes[k : n + k]
     keep = np.arange(out_offsets[-1]) + np.repeat(offsets[:-1] - out_offsets[:-1], counts)
     return mix(total[keep]), out_offsets
+
+
+def shingles_or_whole(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """As shingles(); rows of 1 to width - 1 words have one shingle, all their words."""
+    found, own = shingles(hashes, offsets, width)
+    counts = np.diff(offsets)
+    short = np.flatnonzero((counts > 0) & (counts < width))
+    if not len(short):
+        return found, own
+    whole = np.array([mix((hashes[a:b] * _Q ** np.arange(b - a, 0, -1, dtype=np.uint64)).sum(keepdims=True))[0] for a, b in zip(offsets[short], offsets[short + 1], strict=True)], np.uint64)
+    return np.insert(found, own[short], whole), own + np.concatenate([[0], np.cumsum((counts > 0) & (counts < width))])
