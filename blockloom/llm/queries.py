@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, mixing, near_text, tables, token_counts, toxicity, warc
+from . import decontamination, html_text, mixing, near_text, near_vectors, tables, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.cosine_links(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op4_warc": op4_warc,
+    "op5_near_vectors": op5_near_vectors,
     "op6_main_text": op6_main_text,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_mix_sources": op9_mix_sources,
@@ -79,6 +84,15 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND top <> page_id THEN top END AS refers_to
         FROM w""",
+    "op5_near_vectors": """
+        WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach(id, x) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON reach.x = pairs.a),
+        links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
+        part AS (SELECT id, min(x) AS c FROM reach GROUP BY id)
+        SELECT e.vec_id, coalesce(n, 0) AS n_links, c AS component_id, c = e.vec_id AS kept
+        FROM embeddings e JOIN part ON id = e.vec_id LEFT JOIN links ON a = e.vec_id""",
     "op7_jaccard_join": f"""
         WITH RECURSIVE {SHINGLES.format("documents", "doc_id")},
         s AS (SELECT * FROM documents_shingles UNION ALL SELECT id, array_to_string(w, ' ') FROM documents_words WHERE len(w) BETWEEN 1 AND 4),
