@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, mixing, near_text, near_vectors, tables, token_counts, toxicity, warc
+from . import backoff, decontamination, html_text, mixing, near_text, near_vectors, tables, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tables.scratch_path(spark, "warc")
     warc.write_archives(_read(spark, sf_dir, "pages"), path)
@@ -56,6 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
+    "op3_backoff_scores": op3_backoff_scores,
     "op4_warc": op4_warc,
     "op5_near_vectors": op5_near_vectors,
     "op6_main_text": op6_main_text,
@@ -64,9 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-#: Distinct five-word shingles (id, g) of the rows of a table.
-SHINGLES = """
-        {0}_words AS (SELECT {1} AS id, regexp_extract_all(lower(text), '[\\pL\\pN\\pM_]+') AS w FROM {0}),
+#: The words of a table's rows, and their distinct five-word shingles (id, g).
+WORDS = "{0}_words AS (SELECT {1} AS id, regexp_extract_all(lower(text), '[\\pL\\pN\\pM_]+') AS w FROM {0})"
+SHINGLES = WORDS + """,
         {0}_shingles AS (SELECT DISTINCT id, array_to_string(w[r.i:r.i + 4], ' ') AS g FROM {0}_words, unnest(range(1, len(w) - 3)) AS r(i))"""
 
 ORACLE_SQL: dict[str, str] = {
@@ -76,6 +81,22 @@ ORACLE_SQL: dict[str, str] = {
         held AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS k FROM documents_shingles d JOIN benchmark_shingles b USING (g) GROUP BY ALL)
         SELECT doc_id, item_id, n::INT AS item_shingles, k::INT AS found_shingles, k::DOUBLE / n AS containment
         FROM held JOIN sizes ON item_id = id WHERE k >= 0.8 * n""",
+    "op3_backoff_scores": f"""
+        WITH {WORDS.format("documents", "doc_id")},
+        p AS (SELECT id, r.i AS i, w[r.i] AS c, CASE WHEN r.i > 1 THEN w[r.i - 1] END AS b, CASE WHEN r.i > 2 THEN w[r.i - 2] END AS a FROM documents_words, unnest(range(1, len(w) + 1)) AS r(i)),
+        n AS (SELECT count(*) AS n FROM p),
+        c1 AS (SELECT c, count(*) AS k FROM p GROUP BY ALL),
+        c2 AS (SELECT b, c, count(*) AS k FROM p WHERE b IS NOT NULL GROUP BY ALL),
+        c3 AS (SELECT a, b, c, count(*) AS k FROM p WHERE a IS NOT NULL GROUP BY ALL),
+        s AS (SELECT p.id, CASE
+                WHEN c3.k >= 2 THEN ln(c3.k / ab.k)
+                WHEN bc.k >= 2 THEN ln(bc.k / b1.k) + CASE WHEN p.i > 2 THEN ln(0.4::DOUBLE) ELSE 0 END
+                ELSE ln(c1.k / n.n) + ln(0.4::DOUBLE) * least(p.i - 1, 2) END AS x
+            FROM p CROSS JOIN n JOIN c1 ON c1.c = p.c LEFT JOIN c1 b1 ON b1.c = p.b LEFT JOIN c2 bc ON bc.b = p.b AND bc.c = p.c
+            LEFT JOIN c2 ab ON ab.b = p.a AND ab.c = p.b LEFT JOIN c3 ON c3.a = p.a AND c3.b = p.b AND c3.c = p.c),
+        t AS (SELECT id, count(*) AS k, sum(x) AS x FROM s GROUP BY id)
+        SELECT d.doc_id, coalesce(k, 0) AS n_words, round(coalesce(x, 0), 6) AS log_score, round(x / k, 6) AS mean_log_score
+        FROM documents d LEFT JOIN t ON t.id = d.doc_id""",
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
