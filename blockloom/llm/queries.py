@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, decontamination, html_text, mixing, near_text, near_vectors, tables, token_counts, toxicity, warc
+from . import backoff, decontamination, html_text, mixing, near_text, near_vectors, suffixes, tables, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.jaccard_links(_read(spark, sf_dir, "documents"))
 
 
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(_read(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_vectors": op5_near_vectors,
     "op6_main_text": op6_main_text,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_repeated_bytes": op8_repeated_bytes,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
 }
