@@ -399,7 +399,7 @@ class Repeats:
                 texts.append(data)
                 base += len(data)
             ids = pa.chunked_array([b.column(0).cast(pa.int64()) for b in batches]).combine_chunks()
-            rest = pa.Table.from_batches([b.select(range(2, len(b.columns))) for b in batches]) if keep else None
+            rest = pa.Table.from_batches([b.select(list(range(2, b.num_columns))) for b in batches]) if keep else None
             made = {"ids": pack_ids(ids), "n_bytes": base, "text": zstandard.ZstdCompressor(level=3).compress(np.concatenate(texts).tobytes())}
             made["windows"] = pack(small(np.concatenate(lengths)), small(deltas(np.concatenate(start))), np.concatenate(size).astype(np.uint8), np.concatenate(ahead).astype(np.uint8), level=3)
             made["rest"] = _table_bytes(rest) if rest is not None else None
