@@ -28,7 +28,7 @@ ORDER = 3
 BACKOFF = 0.4
 KEY_BITS = 56
 #: Words for each key range.
-RANGE_WORDS = 3_000_000
+RANGE_WORDS = 1_500_000
 
 
 def ngram_keys(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

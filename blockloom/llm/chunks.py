@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .graph import units
 from .tables import pieces, scratch_path
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
