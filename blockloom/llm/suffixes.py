@@ -34,13 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import SENT, Chunks, deltas, exchange, pack, pack_ids, range_count, ranges, sender, small, unpack, unpack_ids
-from .text import Runs, flat_bytes, mix
+from .tables import pieces
+from .text import Runs, flat_bytes, hash_spans, mix
 
 LENGTH = 50
 K = 24
 HOT = 20_000
 #: Bytes of text for each key range of steps 1 and 2, and of step 3.
-RANGE_BYTES, WINDOW_BYTES = 16 << 20, 8 << 20
+RANGE_BYTES, WINDOW_BYTES = 16 << 20, 2 << 20
+#: Bytes of text that windows are found in at once, unless a document is longer.
+PIECE_BYTES = 1 << 18
 #: Anchors are looked up by the top bits of their hashes.
 ANCHOR_MASK = np.uint64(2**64 - 2**16)
 NOWHERE = np.int64(2**63 - 1)
@@ -103,13 +106,12 @@ def _told(row: dict, name: str, count: int, offset: int = 0) -> list[list[np.nda
 def _anchor_keys(row: dict) -> tuple:
     chunk = _chunk(row)
     data, _, start, end, anchor, owner = chunk
-    runs = Runs(data)
-    return chunk, runs, runs.hashes(anchor, anchor + K) if len(anchor) else np.empty(0, np.uint64)
+    return chunk, hash_spans(data, anchor, anchor + K)
 
 
 def _send_anchors(count: int):
     def emit(row: dict) -> Iterator[tuple[int, bytes]]:
-        (_, _, start, end, anchor, owner), runs, keys = _anchor_keys(row)
+        (*_, owner), keys = _anchor_keys(row)
         masked = keys & ANCHOR_MASK
         order = np.argsort(masked, kind="stable")
         keys, owner = masked[order], owner[order]
@@ -154,12 +156,12 @@ def _states(row: dict, keys: np.ndarray) -> np.ndarray:
 # Step 2: which of them have one window only, and its smallest document.
 def _variants(row: dict) -> tuple:
     """The chunk, its repeated windows, their entries (anchor, window hash, smallest id) and each window's entry."""
-    chunk, runs, keys = _anchor_keys(row)
-    data, offsets, start, end, anchor, owner = chunk
+    chunk, keys = _anchor_keys(row)
+    data, _, start, end, _, owner = chunk
     states = _states(row, keys)
     ids = _documents(row)
     some = np.flatnonzero((states == REPEATED) & (ids[owner] != NOWHERE))
-    key, own = keys[some], runs.hashes(start[some], end[some]) if len(some) else np.empty(0, np.uint64)
+    key, own = keys[some], hash_spans(data, start[some], end[some])
     order = np.lexsort((own, key))
     new = _first(key[order]) | _first(own[order])
     at = np.flatnonzero(new)
@@ -167,7 +169,7 @@ def _variants(row: dict) -> tuple:
     entry[order] = np.cumsum(new) - 1
     lowest = np.minimum.reduceat(ids[owner[some]][order], at) if len(at) else np.empty(0, np.int64)
     example = some[order][at]
-    return chunk, runs, states, ids, some, entry, key[order][at], own[order][at], lowest, example
+    return chunk, states, ids, some, entry, key[order][at], own[order][at], lowest, example
 
 
 def _send_variants(count: int):
@@ -197,7 +199,7 @@ def _answer_variants(blobs: list[bytes]) -> list[bytes]:
 # Step 3: repeated intervals of the other windows.
 def _to_merge(row: dict) -> tuple:
     """What a chunk knows after step 2, with the spans that step 3 gets: (start, end, smallest id) by range key."""
-    chunk, runs, states, ids, some, entry, key, own, lowest, example = _variants(row)
+    chunk, states, ids, some, entry, key, own, lowest, example = _variants(row)
     data, _, start, end, _, owner = chunk
     answers = _told(row, "answers1", 1 << 40)
     several = np.concatenate([a[0] for a in answers]).astype(bool) if answers else np.empty(0, bool)
@@ -207,7 +209,7 @@ def _to_merge(row: dict) -> tuple:
     spread = np.flatnonzero((states == SPREAD) & (ids[owner] != NOWHERE))
     counts = end[spread] - start[spread] - LENGTH + 1
     begin = np.repeat(start[spread] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    hashes = runs.hashes(begin, begin + LENGTH) if len(begin) else np.empty(0, np.uint64)
+    hashes = hash_spans(data, begin, begin + LENGTH)
     order = np.argsort(hashes, kind="stable")
     new = _first(hashes[order])
     string = np.empty(len(begin), np.int64)
@@ -233,32 +235,46 @@ def _send_windows(count: int):
 
 
 def _symbols(texts: list[np.ndarray]) -> tuple[int, list[list[np.ndarray]]]:
-    """The most bytes g whose runs have 65,536 values at most, and for g bytes and for the rest of LENGTH the ranks."""
-
-    def ranks(g: int) -> list[np.ndarray] | None:
-        packed = []
-        for t in texts:
-            value = np.zeros(len(t), np.uint64)
-            for i in range(g):
-                value = value << np.uint64(8) | np.roll(t, -i)
-            packed.append(value)
-        values = np.unique(np.concatenate(packed))
-        return [np.searchsorted(values, p).astype(np.uint16) for p in packed] if len(values) <= 65536 else None
-
-    for g in (6, 5, 4, 3, 2):
-        if (own := ranks(g)) is not None:
+    """A number of bytes g whose runs have 65,536 values at most, and for g bytes and for the rest of LENGTH the ranks."""
+    whole = np.concatenate(texts)
+    cuts = np.cumsum([len(t) for t in texts])[:-1]
+
+    def packed(g: int) -> np.ndarray:
+        value = np.zeros(len(whole), np.int64)
+        for i in range(g):  # a shard is a circle, so its orders by steps of g bytes and of the rest agree
+            value = value << 8 | np.concatenate([np.roll(t, -i) for t in texts])
+        return value
+
+    def ranks(g: int) -> tuple[int, np.ndarray]:
+        value = packed(g)
+        if g <= 2:
+            there = np.zeros(1 << 8 * g, bool)
+            there[value] = True
+            table = np.cumsum(there, dtype=np.int32)
+            return int(table[-1]), table[value] - 1
+        values, inverse = np.unique(value, return_inverse=True)
+        return len(values), inverse
+
+    g, (count, own) = 2, ranks(2)
+    for more in (3, 4, 5, 6):
+        if count > 65536 // 6:  # one byte more would hardly fit
+            break
+        found, after = ranks(more)
+        if found > 65536:
             break
-    return g, [own, ranks(LENGTH % g) if LENGTH % g else []]
+        g, count, own = more, found, after
+    split = lambda x: np.split(x.astype(np.uint16), cuts)
+    return g, [split(own), split(ranks(LENGTH % g)[1]) if LENGTH % g else []]
 
 
 def transform(ranks: np.ndarray, rest: np.ndarray | None, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """A shard's suffix order to LENGTH bytes and more, and its transforms: the symbols of g bytes before, and of the rest."""
     n = len(ranks)
-    order = np.arange(n, dtype=np.int64)
+    before = np.roll(np.arange(n, dtype=np.int32), g)  # the place g bytes before each
+    order, symbols = np.arange(n, dtype=np.int32), ranks[before]
     for _ in range(-(-LENGTH // g)):
-        order = (order - g) % n
-        order = order[np.argsort(ranks[order], kind="stable")]
-    return order, ranks[(order - g) % n], rest[(order - LENGTH % g) % n] if rest is not None else None
+        order = before[order[np.argsort(symbols[order], kind="stable")]]
+    return order, symbols[order], rest[(order - LENGTH % g) % n] if rest is not None else None
 
 
 def merge(transforms: list[tuple[np.ndarray, np.ndarray | None]], g: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,17 +288,20 @@ def merge(transforms: list[tuple[np.ndarray, np.ndarray | None]], g: int) -> tup
     rest = np.concatenate([t[1] for t in transforms]) if LENGTH % g else None
     kind = np.uint8 if len(sizes) < 256 else np.uint16 if len(sizes) < 65536 else np.int64
     shard = np.repeat(np.arange(len(sizes)), sizes).astype(kind)
-    place = np.arange(len(whole))
+    place = entries = np.arange(len(whole), dtype=np.int32)
     new = np.zeros(len(whole), bool)
     for symbols in [whole] * (LENGTH // g) + ([rest] if rest is not None else []):
         seen = symbols[place]  # the merged transform at this depth
         order = np.argsort(seen, kind="stable")
-        seen, group = seen[order], np.cumsum(new)[order]
-        new = np.concatenate([[False], (seen[1:] != seen[:-1]) | (group[1:] != group[:-1])])
+        seen, group = seen[order], np.cumsum(new, dtype=np.int32)[order]
+        new[1:] = (seen[1:] != seen[:-1]) | (group[1:] != group[:-1])
+        if len(sizes) == 1:
+            place = entries
+            continue
         shard = shard[order]
         # The k-th entry of a shard in the interleaving is the k-th of its own order.
-        place = np.empty(len(whole), np.int64)
-        place[np.argsort(shard, kind="stable")] = np.arange(len(whole))
+        place = np.empty(len(whole), np.int32)
+        place[np.argsort(shard, kind="stable")] = entries
     return place, new
 
 
@@ -389,7 +408,7 @@ class Repeats:
 
         def make(batches: list[pa.RecordBatch]) -> dict:
             texts, lengths, start, size, ahead, base = [], [], [], [], [], 0
-            for b in batches:
+            for b in pieces(iter(batches), text_col, PIECE_BYTES):
                 data, offsets = flat_bytes(b.column(1))
                 s, e, a = windows(data, offsets)
                 start.append(s + base)
