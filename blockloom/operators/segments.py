@@ -37,7 +37,7 @@ def parse(images: DataFrame, max_segments: int = MAX_SEGMENTS) -> DataFrame:
         lead, code = B.byte_at(content, pos), B.byte_at(content, pos + 1)
         length = B.be16(content, pos + 2)
         fill = (lead == 0xFF) & (code == 0xFF)
-        fault = F.when(code.isNull(), F.lit("truncated")).when((lead != 0xFF) | (code == 0), F.lit("no_marker")).when(fill | ~M.is_segment(code), F.lit(None)).when(length.isNull() | (pos + 2 + length > n), F.lit("truncated")).when(length < 2, F.lit("bad_length")).cast("string")
+        fault = F.when(pos >= n, F.lit("no_end_of_image")).when(code.isNull(), F.lit("truncated")).when((lead != 0xFF) | (code == 0), F.lit("no_marker")).when(fill | ~M.is_segment(code), F.lit(None)).when(length.isNull() | (pos + 2 + length > n), F.lit("truncated")).when(length < 2, F.lit("bad_length")).cast("string")
         alone = ~M.is_segment(code)
         off, size = F.when(alone, pos + 2).otherwise(pos + 4), F.when(alone, 0).otherwise(length - 2)
         after = off + size
