@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LATIN = "ISO-8859-1"
@@ -17,6 +17,18 @@ def _i(x: Column | int) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are evaluated once a row: the optimizer copies no expression through a generator."""
+    made = F.struct(*(c.alias(n) for n, c in columns.items()))
+    kept = [n for n in df.columns if n not in columns]
+    return df.select(*kept, F.explode(F.array(made)).alias("__once")).select(*kept, *(F.col("__once")[n].alias(n) for n in columns))
+
+
 def hex_int(b: Column) -> Column:
     """The big-endian number that a few bytes spell; null for none."""
     return F.conv(F.hex(b), 16, 10).cast("int")

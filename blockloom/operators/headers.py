@@ -57,13 +57,16 @@ def huffman(payload: Column) -> Column:
 
     def step(acc: Column) -> Column:
         pos = acc["pos"]
-        head = B.byte_at(payload, pos)
         counts = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: B.byte_at(payload, pos + k))
-        total = F.aggregate(counts, F.lit(0), lambda a, c: a + c)
-        symbols = F.when(total > 0, F.transform(_seq(total), lambda k: B.byte_at(payload, pos + 17 + k))).otherwise(F.array().cast("array<int>"))
-        table = F.struct(B.high_nibble(head).alias("class"), B.low_nibble(head).alias("dest"), counts.alias("counts"), symbols.alias("symbols"))
-        whole = (pos + 17 <= F.octet_length(payload)) & (pos + 17 + total <= F.octet_length(payload))
-        return F.when(whole, F.struct((pos + 17 + total).alias("pos"), F.concat(acc["out"], F.array(table)).cast(_HUFFMAN).alias("out"))).otherwise(acc)
+        read = F.struct(B.byte_at(payload, pos).alias("head"), counts.alias("counts"), F.aggregate(counts, F.lit(0), lambda a, c: a + c).alias("total"))
+
+        def take(h: Column) -> Column:
+            symbols = F.when(h["total"] > 0, F.transform(_seq(h["total"]), lambda k: B.byte_at(payload, pos + 17 + k))).otherwise(F.array().cast("array<int>"))
+            table = F.struct(B.high_nibble(h["head"]).alias("class"), B.low_nibble(h["head"]).alias("dest"), h["counts"].alias("counts"), symbols.alias("symbols"))
+            whole = pos + 17 + h["total"] <= F.octet_length(payload)
+            return F.when(whole, F.struct((pos + 17 + h["total"]).alias("pos"), F.concat(acc["out"], F.array(table)).cast(_HUFFMAN).alias("out"))).otherwise(acc)
+
+        return F.when(pos + 17 <= F.octet_length(payload), B.let(read, take)).otherwise(acc)
 
     return B.fold(8, start, step)["out"]
 

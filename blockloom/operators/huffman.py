@@ -70,7 +70,7 @@ def decode_interval(data: bytes, plan: list[tuple[int, Table, Table]], units: in
             n = dc.lengths[word & 0xFFFF]
             size = dc.symbols[word & 0xFFFF]
             if not n or size > 11:
-                raise ValueError("bad_code")
+                raise ValueError("truncated_scan" if pos + 16 > end else "bad_code")
             pos += n
             if size:
                 value = (int.from_bytes(data[pos >> 3 : (pos >> 3) + 5]) >> (40 - (pos & 7) - size)) & ((1 << size) - 1)
@@ -82,7 +82,7 @@ def decode_interval(data: bytes, plan: list[tuple[int, Table, Table]], units: in
                 word = int.from_bytes(data[pos >> 3 : (pos >> 3) + 5]) >> (24 - (pos & 7))
                 n = ac.lengths[word & 0xFFFF]
                 if not n:
-                    raise ValueError("bad_code")
+                    raise ValueError("truncated_scan" if pos + 16 > end else "bad_code")
                 pos += n
                 symbol = ac.symbols[word & 0xFFFF]
                 run, size = symbol >> 4, symbol & 15
@@ -116,7 +116,7 @@ def _table(counts: list[int], symbols: list[int]) -> Table:
     return _tables[key]
 
 
-_CODES = "struct<counts:array<int>,symbols:array<int>>"
+_CODES = "struct<class:int,dest:int,counts:array<int>,symbols:array<int>>"
 PARTS = f"array<struct<comp:int,h:int,v:int,up_h:int,up_v:int,q:array<int>,dc:{_CODES},ac:{_CODES}>>"
 #: Geometry that the blocks carry on, so that raster assembly needs no join.
 GEOMETRY = "width int, height int, h_max int, v_max int, comps int"
@@ -148,7 +148,7 @@ def _decode_row(row: dict) -> pa.RecordBatch:
         for k, part in enumerate(row["parts"]):
             if not part["dc"] or not part["ac"]:
                 raise ValueError("missing_huffman_table")
-            dc, ac = _table(**part["dc"]), _table(**part["ac"])
+            dc, ac = (_table(part[k]["counts"], part[k]["symbols"]) for k in ("dc", "ac"))
             for y in range(part["v"]):
                 for x in range(part["h"]):
                     plan.append((part["comp"], dc, ac))

@@ -34,26 +34,43 @@ def parse(images: DataFrame, max_segments: int = MAX_SEGMENTS) -> DataFrame:
 
     def step(acc):
         pos = acc["pos"]
-        lead, code = B.byte_at(content, pos), B.byte_at(content, pos + 1)
-        length = B.be16(content, pos + 2)
-        fill = (lead == 0xFF) & (code == 0xFF)
-        fault = F.when(pos >= n, F.lit("no_end_of_image")).when(code.isNull(), F.lit("truncated")).when((lead != 0xFF) | (code == 0), F.lit("no_marker")).when(fill | ~M.is_segment(code), F.lit(None)).when(length.isNull() | (pos + 2 + length > n), F.lit("truncated")).when(length < 2, F.lit("bad_length")).cast("string")
+        read = F.struct(B.byte_at(content, pos).alias("lead"), B.byte_at(content, pos + 1).alias("code"), B.be16(content, pos + 2).alias("length"))
+        return F.when(acc["done"], acc).otherwise(B.let(read, lambda h: advance(acc, h)))
+
+    def advance(acc, h):
+        pos, code, length = acc["pos"], h["code"], h["length"]
+        fill = (h["lead"] == 0xFF) & (code == 0xFF)
         alone = ~M.is_segment(code)
-        off, size = F.when(alone, pos + 2).otherwise(pos + 4), F.when(alone, 0).otherwise(length - 2)
-        after = off + size
+        fault = (
+            F.when(pos >= n, "no_end_of_image").when(code.isNull(), "truncated").when((h["lead"] != 0xFF) | (code == 0), "no_marker")
+            .when(fill | alone, F.lit(None)).when(length.isNull(), "truncated").when(length < 2, "bad_length").when(pos + 2 + length > n, "truncated").cast("string")
+        )
+        place = F.struct(F.when(alone, pos + 2).otherwise(pos + 4).alias("off"), F.when(alone, 0).otherwise(length - 2).alias("len"), fault.alias("fault"))
+
+        def take(at):
+            after = at["off"] + at["len"]
+            data = F.when(code == M.SOS, entropy_data(after))
+            return B.let(data, lambda d: going(at, after, d))
+
+        def going(at, after, data):
+            seg = F.struct(F.size(acc["segs"]).alias("seq"), code.alias("code"), at["off"].alias("off"), at["len"].alias("len"), B.slice_bytes(content, at["off"], at["len"]).alias("payload"), data.alias("data")).cast(_SEG)
+            after = (after + F.coalesce(F.octet_length(data), F.lit(0))).cast("int")
+            return F.struct(after.alias("pos"), (code == M.EOI).alias("done"), F.lit(None).cast("string").alias("fault"), F.concat(acc["segs"], F.array(seg)).alias("segs"))
+
+        def settle(at):
+            ended = F.struct(pos.alias("pos"), F.lit(True).alias("done"), at["fault"].alias("fault"), acc["segs"].alias("segs"))
+            skipped = F.struct((pos + 1).alias("pos"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("fault"), acc["segs"].alias("segs"))
+            return F.when(at["fault"].isNotNull(), ended).when(fill, skipped).otherwise(take(at))
+
+        return B.let(place, settle)
+
+    def entropy_data(after):
         rest = B.latin(F.substring(content, after + 1, n))
-        stop = F.regexp_instr(rest, F.lit(_END_OF_SCAN))
-        data_len = F.when(stop > 0, stop - 1).otherwise(F.length(rest))
-        is_scan = code == M.SOS
-        data = F.when(is_scan, B.slice_bytes(content, after, data_len))
-        seg = F.struct(F.size(acc["segs"]).alias("seq"), code.alias("code"), off.alias("off"), size.alias("len"), B.slice_bytes(content, off, size).alias("payload"), data.alias("data")).cast(_SEG)
-        going = F.struct((F.when(fill, pos + 1).otherwise(after) + F.when(is_scan, F.octet_length(data)).otherwise(0)).cast("int").alias("pos"), (code == M.EOI).alias("done"), F.lit(None).cast("string").alias("fault"), F.when(fill, acc["segs"]).otherwise(F.concat(acc["segs"], F.array(seg))).alias("segs"))
-        ended = F.struct(pos.alias("pos"), F.lit(True).alias("done"), fault.alias("fault"), acc["segs"].alias("segs"))
-        return F.when(acc["done"], acc).when(fault.isNotNull(), ended).otherwise(going)
+        return B.let(rest, lambda r: B.let(F.regexp_instr(r, F.lit(_END_OF_SCAN)), lambda stop: B.slice_bytes(content, after, F.when(stop > 0, stop - 1).otherwise(F.length(r)))))
 
     steps = F.greatest(F.least(F.lit(max_segments), (n / 2).cast("int")), F.lit(1))
     state = F.when(has_magic(), B.fold(steps, start, step))
-    rows = images.withColumn("__s", state)
+    rows = B.once(images, __s=state)
     fault = F.when(F.col("__s").isNull(), "no_start_of_image").when(F.col("__s.fault").isNotNull(), F.col("__s.fault")).when(~F.col("__s.done"), "no_end_of_image")
     return rows.withColumn("fault", fault).withColumn("segs", F.coalesce("__s.segs", none)).drop("__s")
 

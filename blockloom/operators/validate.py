@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bytes as B
 from . import headers as H
 from . import markers as M
 
@@ -13,14 +14,15 @@ def describe(parsed: DataFrame) -> DataFrame:
     """parsed with `frame` (the last baseline frame), `scan_list`, `quants`, `huffmans`, and `error` (null: decodable)."""
     of = lambda code: F.filter("segs", lambda s: s["code"] == code)
     other = F.exists("segs", lambda s: s["code"].between(0xC1, 0xCF) & ~s["code"].isin(0xC4, 0xC8, 0xCC))
-    rows = parsed.withColumn("frame", F.when(F.size(of(M.SOF0)) > 0, H.frame(F.element_at(of(M.SOF0), -1)["payload"])))
-    rows = rows.withColumn("scan_list", F.transform(of(M.SOS), lambda s: F.struct(s["seq"].alias("seq"), H.scan(s["payload"]).alias("scan"), s["data"].alias("data"))))
+    rows = B.once(parsed, __sof=F.try_element_at(of(M.SOF0), F.lit(-1))["payload"], __other=other)
     tables = lambda code, parse: F.flatten(F.transform(of(code), lambda s: F.transform(parse(s["payload"]), lambda t: F.struct(s["seq"].alias("seq"), t.alias("t")))))
-    rows = rows.withColumn("quants", tables(M.DQT, H.quant)).withColumn("huffmans", tables(M.DHT, H.huffman))
+    frame = F.when(F.col("__sof").isNotNull(), H.frame(F.col("__sof")))
+    scans = F.transform(of(M.SOS), lambda s: F.struct(s["seq"].alias("seq"), H.scan(s["payload"]).alias("scan"), s["data"].alias("data")))
+    rows = B.once(rows, frame=frame, scan_list=scans, quants=tables(M.DQT, H.quant), huffmans=tables(M.DHT, H.huffman))
     ids = F.transform("frame.components", lambda c: c["id"])
     error = (
         F.when(F.col("fault").isNotNull() & (F.col("fault") != "no_end_of_image"), F.col("fault"))
-        .when(other, "unsupported_process")
+        .when(F.col("__other"), "unsupported_process")
         .when(F.col("frame").isNull(), "no_frame")
         .when(~_true(F.col("frame.precision") == 8), "unsupported_precision")
         .when(~_true((F.col("frame.height") > 0) & (F.col("frame.width") > 0)), "bad_size")
@@ -32,7 +34,7 @@ def describe(parsed: DataFrame) -> DataFrame:
         .when(F.exists("quants", lambda t: t["t"]["pq"] != 0), "quant_not_8_bit")
         .when(F.exists("frame.components", lambda c: ~F.exists("quants", lambda t: t["t"]["tq"] == c["tq"])), "missing_quant_table")
     )
-    return rows.withColumn("error", error)
+    return B.once(rows, error=error).drop("__sof", "__other")
 
 
 def _true(c: Column) -> Column:

@@ -27,8 +27,7 @@ def describe(images: DataFrame) -> DataFrame:
 
 def _last(tables: Column, before: Column, fits) -> Column:
     """The last table before a segment that fits (Q28); null if there is none."""
-    own = F.filter(tables, lambda t: (t["seq"] < before) & fits(t["t"]))
-    return F.when(F.size(own) > 0, F.element_at(own, -1)["t"])
+    return F.try_element_at(F.filter(tables, lambda t: (t["seq"] < before) & fits(t["t"])), F.lit(-1))["t"]
 
 
 def intervals(described: DataFrame) -> DataFrame:
@@ -36,32 +35,31 @@ def intervals(described: DataFrame) -> DataFrame:
     rows = described.where("error IS NULL").select("image_id", "frame", "quants", "huffmans", "segs", F.explode("scan_list").alias("s"))
     parts = F.col("frame.components")
     h_max, v_max = F.array_max(F.transform(parts, lambda c: c["h"])), F.array_max(F.transform(parts, lambda c: c["v"]))
-    rows = rows.select("*", h_max.alias("h_max"), v_max.alias("v_max"), F.col("frame.width").alias("width"), F.col("frame.height").alias("height"), F.size(parts).alias("comps"))
-    rows = rows.withColumn("single", F.size("s.scan.components") == 1)
-    code = lambda t: F.when(t.isNotNull(), F.struct(t["counts"].alias("counts"), t["symbols"].alias("symbols")))
+    rows = B.once(rows, h_max=h_max, v_max=v_max, width=F.col("frame.width"), height=F.col("frame.height"), comps=F.size(parts), single=F.size("s.scan.components") == 1)
 
     def part(c: Column) -> Column:
         place = F.array_position(F.transform("frame.components", lambda x: x["id"]), c["id"]).cast("int") - 1
-        own = F.get("frame.components", place)
+        return B.let(F.struct(place.alias("place"), F.get("frame.components", place).alias("own")), lambda f: full(c, f["place"], f["own"]))
+
+    def full(c: Column, place: Column, own: Column) -> Column:
         dc = _last(F.col("huffmans"), F.col("s.seq"), lambda t: (t["class"] == 0) & (t["dest"] == c["td"]))
         ac = _last(F.col("huffmans"), F.col("s.seq"), lambda t: (t["class"] == 1) & (t["dest"] == c["ta"]))
         q = _last(F.col("quants"), F.col("s.seq"), lambda t: t["tq"] == own["tq"])["q"]
-        once = lambda x: F.when(F.col("single"), F.lit(1)).otherwise(x)
-        return F.struct(place.alias("comp"), once(own["h"]).alias("h"), once(own["v"]).alias("v"), own["h"].alias("up_h"), own["v"].alias("up_v"), q.alias("q"), code(dc).alias("dc"), code(ac).alias("ac"))
+        each = lambda x: F.when(F.col("single"), F.lit(1)).otherwise(x)
+        return F.struct(place.alias("comp"), each(own["h"]).alias("h"), each(own["v"]).alias("v"), own["h"].alias("up_h"), own["v"].alias("up_v"), q.alias("q"), dc.alias("dc"), ac.alias("ac"))
 
-    rows = rows.withColumn("parts", F.transform("s.scan.components", part))
+    rows = B.once(rows, parts=F.transform("s.scan.components", part), pieces=F.split(B.latin(F.col("s.data")), _RESTART))
     up = lambda a, b: F.ceil(a / b).cast("int")
     first = F.get("parts", 0)
     across = F.when(F.col("single"), up(F.col("width") * first["up_h"], 8 * F.col("h_max"))).otherwise(up(F.col("width"), 8 * F.col("h_max")))
     down = F.when(F.col("single"), up(F.col("height") * first["up_v"], 8 * F.col("v_max"))).otherwise(up(F.col("height"), 8 * F.col("v_max")))
-    rows = rows.withColumn("mcus_across", across).withColumn("total", across * down)
-    dri = F.filter("segs", lambda x: (x["code"] == M.DRI) & (x["seq"] < F.col("s.seq")))
-    each = F.when(F.size(dri) > 0, B.be16(F.element_at(dri, -1)["payload"], 0)).otherwise(0)
-    rows = rows.withColumn("each", F.when(each > 0, each).otherwise(F.col("total")))
-    pieces = rows.select("*", F.posexplode(F.split(B.latin(F.col("s.data")), _RESTART)).alias("interval_no", "piece")).where(F.col("interval_no") * F.col("each") < F.col("total"))
+    dri = F.try_element_at(F.filter("segs", lambda x: (x["code"] == M.DRI) & (x["seq"] < F.col("s.seq"))), F.lit(-1))["payload"]
+    rows = B.once(rows, mcus_across=across, total=across * down, each=B.be16(dri, 0), last_no=F.size("pieces") - 1)
+    rows = rows.withColumn("each", F.when(F.col("each") > 0, F.col("each")).otherwise(F.col("total")))
+    pieces = rows.select("*", F.posexplode("pieces").alias("interval_no", "piece")).where(F.col("interval_no") * F.col("each") < F.col("total"))
     # The last interval's row asks for all that is left, so lost restart markers show as a truncated scan.
     start = F.col("interval_no") * F.col("each")
-    final = F.col("interval_no") == F.size(F.split(B.latin(F.col("s.data")), _RESTART)) - 1
+    final = F.col("interval_no") == F.col("last_no")
     count = F.when(final, F.col("total") - start).otherwise(F.least(F.col("each"), F.col("total") - start))
     return pieces.select("image_id", start.cast("int").alias("first_mcu"), count.cast("int").alias("mcus"), "mcus_across", "width", "height", "h_max", "v_max", "comps", "parts", B.destuff(F.encode("piece", B.LATIN)).alias("data"))
 
