@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from .tables import materialize
 
 
-def block_pairs(members: DataFrame, key: str, id_col: str, block: int) -> DataFrame:
+def block_pairs(members: DataFrame, key: str, id_col: str, block: int, counted: DataFrame | None = None) -> DataFrame:
     """members with `lo`, `hi` and `own`: the pairs of blocks of its group that a member takes part in.
 
     A group of n members is cut by hash into ceil(n / block) blocks, and each unordered pair of blocks becomes a unit
     of work (key, lo, hi), so no task holds a large group. A member of a group with b blocks is copied b times.
+    counted: a frame with the same groups that is cheaper to count.
     """
-    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    sizes = (counted if counted is not None else members).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     rows = members.join(sizes, key)
     blocks: Column = F.ceil(F.col("__n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64(id_col), blocks).cast("int")
@@ -76,18 +77,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     stays short; the number of rounds grows with the logarithm of the longest path. The rows never exceed the edges.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now, mark = materialize(now, "edges"), None
+    now = materialize(now, "edges")
     for _ in range(rounds):
+        split = now.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
+        deeper = now.join(now.select(F.col("u").alias("k")), F.col("v") == F.col("k"), "left_semi")
+        if split.isEmpty() and deeper.isEmpty():  # each id points to one other, and that to none
+            roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
+            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(low, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now = materialize(small, "edges")
-        sums = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        after = (sums["n"], sums["h"])
-        if after == mark:
-            roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
-        mark = after
     raise RuntimeError("connected components did not settle")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import block_pairs, components, forest, units
-from .tables import materialize, pieces
+from .tables import deal, materialize, pieces
 from .text import mix, shingles_or_whole, words
 
 THRESHOLD = 0.8
@@ -163,9 +163,9 @@ def link_counts(groups: DataFrame, docs: DataFrame, threshold: float, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("group", "doc_id", "copies", "n", "sig")] + [pa.array(sets, pa.binary())], names=["group", "doc_id", "copies", "n", "sig", "shingles"]).filter(keep)
 
     rows = rows.select("group", "doc_id", "copies", "n", "sig", "__text").mapInArrow(to_sets, f"group {kind}, doc_id {kind}, copies long, n int, sig binary, shingles binary")
-    rows = block_pairs(rows, "group", "doc_id", BLOCK)
+    rows = block_pairs(rows, "group", "doc_id", BLOCK, groups)
     keys = ["group", "lo", "hi"]
-    rows = rows.select(*keys, "own", "doc_id", "copies", "sig", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    rows = deal(rows.select(*keys, "own", "doc_id", "copies", "sig", "shingles"), *keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in units(batches, 3):

@@ -41,8 +41,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys and sorted by them, over as many partitions as spark.sql.shuffle.partitions says.
+
+    The count is explicit, so the partitions aren't joined by their bytes: what follows works far longer on a byte than Spark assumes.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *keys).sortWithinPartitions(*keys)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all tables that this application materialized; call it once their results are written."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("chunks_"):
+            spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
