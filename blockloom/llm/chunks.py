@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import units
-from .tables import pieces, scratch_path
+from .tables import deal, pieces, scratch_path
 
 CHUNK_BYTES = 8 << 20
 
@@ -133,7 +133,7 @@ def exchange(sent: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> D
         for unit in units(batches, 1):
             yield pa.RecordBatch.from_arrays([unit.column("chunk").combine_chunks(), unit.column("bucket").combine_chunks(), pa.array(answer(unit.column("blob").to_pylist()), pa.binary())], names=["chunk", "bucket", "blob"])
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk long, bucket long, blob binary")
+    return deal(sent, "bucket").mapInArrow(run, "chunk long, bucket long, blob binary")
 
 
 def sender(emit: Callable[[dict], Iterator[tuple[int, bytes]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
