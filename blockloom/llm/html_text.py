@@ -43,6 +43,10 @@ BOILERPLATE = frozenset(
     "disqus reply replies respond discussion search toolbar topbar contentinfo complementary dialog alertdialog skip taboola outbrain".split()
 )
 END_SIGNS = re.compile(r"[.,;:!?。，、！？…]")
+#: Headings of what readers, editors or sellers add below an article: they and what follows in their element go.
+ADDED = re.compile(r"(?:\d+ )?(?:reader )?(?:comments?|kommentare?|commentaires?|comentarios?|responses?|replies|leave a (?:comment|reply)|related(?: (?:articles|posts|stories))?|share(?: this)?|advertisement)(?: ?\(\d+\))?:?", re.I)
+#: Notices outside an article element.
+LEGAL = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 #: A path is content from this share of the page's highest smoothed ratio.
 SHARE = 0.12
 #: Weights of a block's neighbours at distance 0, 1, 2.
@@ -199,6 +203,12 @@ def main_text(page: str | None) -> str:
     found = blocks(page)
     if any(b.main for b in found):
         found = [b for b in found if b.main]
+    else:
+        found = [b for b in found if not (LEGAL.match(b.text) and len(b.text) < 200)] or found
+    for k, b in enumerate(found):
+        if b.heading and k and len(b.ids) > 1 and ADDED.fullmatch(b.text):
+            found = found[:k] + [x for x in found[k + 1 :] if b.ids[-2] not in x.ids]
+            break
     if not found:
         return ""
     smooth = ratios(found)
@@ -214,7 +224,7 @@ def main_text(page: str | None) -> str:
             total += len(b.text)
             for k in b.ids:
                 weight[k] = weight.get(k, 0) + len(b.text)
-    _, inner = max(((b.ids.index(k), k) for b in found for k in b.ids if weight.get(k, 0) >= 0.9 * total), default=(0, -1))
+    _, inner = max(((b.ids.index(k), k) for b in found for k in b.ids[:-1] or b.ids if weight.get(k, 0) >= 0.9 * total), default=(0, -1))
     keep = []
     for b, yes in zip(found, chosen, strict=True):
         inside = inner < 0 or inner in b.ids
