@@ -114,7 +114,7 @@ def test_main_text():
 
 @pytest.mark.parametrize(
     ("page", "want"),
-    [(None, ""), ("", ""), ("plain text", "plain text"), ("<p>", ""), ("<p>a < b</p>", "a < b"), ("<p>x<br>y</p>", "x y"), ("<p>&eacute;&#233;&#xE9;</p>", "ééé"), ("<!-- <p>no</p> --><p>yes", "yes"), ("<script>never closed", ""), ("<article><p>one<p>two</article><p>three, and four, and five. Six.</p>", "one\ntwo")],
+    [(None, ""), ("", ""), ("plain text", "plain text"), ("<p>", ""), ("<p>a < b</p>", "a < b"), ("<p>x<br>y</p>", "x y"), ("<p>&eacute;&#233;&#xE9;</p>", "ééé"), ("<!-- <p>no</p> --><p>yes", "yes"), ("<script>never closed", ""), ("<div><h1>A</h1><p>Text, of the page. And more.</p><div><h3>Comments (2)</h3><p>Nice, very nice. Yes.</p></div></div><div>Copyright 2020, me.</div>", "A\nText, of the page. And more."), ("<article><p>one<p>two</article><p>three, and four, and five. Six.</p>", "one\ntwo")],
 )
 def test_small_pages(page, want):
     assert html_text.main_text(page) == want
