@@ -5,9 +5,9 @@ document draws u in [0, 1) from a hash of (seed, doc_id) and gets the number of
 which the Poisson distribution of that mean first exceeds u; the rows are exploded by k and dealt
 out anew by a hash of (seed, doc_id, copy), which shuffles them over all partitions.
 
-The rates need one row per source, found by a partially aggregated count over all documents. Sources
-named in the target are few (they are an argument), so with a target the rate table is bounded and
-joins by broadcast; hot sources cost nothing, as no document moves by its source.
+The rates need one row per source, found by a partially aggregated count over all documents. Where the sources are
+named in the target (an argument) or number at most BROADCAST_SOURCES, which is counted first, their table is broadcast and no
+document moves by its source; otherwise Spark chooses the join.
 
 Defined results: a null source is a source of its own, named None in a target; a null text is kept as it is;
 rows with equal doc_id draw alike; without a target each source has the same weight; sources whose weight is missing
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Means above this are split into equal parts with draws of their own (a sum of Poisson variables is Poisson).
 PART_MEAN = 32.0
+#: So many sources at most are broadcast.
+BROADCAST_SOURCES = 10_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -43,7 +45,7 @@ def poisson_steps(mean: Column) -> Column:
 
 
 def rates(docs: DataFrame, target: dict | None, source_col: str = "source") -> DataFrame:
-    """source, parts and steps: how to draw the copies of a source's documents."""
+    """__source, __parts and __steps: how to draw the copies of a source's documents."""
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if target is None:
         counts = counts.withColumn("weight", F.lit(1.0))
@@ -57,7 +59,7 @@ def rates(docs: DataFrame, target: dict | None, source_col: str = "source") -> D
     shares = counts.crossJoin(F.broadcast(totals))  # one row
     mean = F.col("weight") / F.col("all_weight") * F.col("all_n") / F.col("n")
     shares = shares.withColumn("mean", mean).withColumn("parts", F.greatest(F.ceil(F.col("mean") / PART_MEAN), F.lit(1)).cast("int"))
-    return shares.select("source", "mean", "parts", poisson_steps(F.col("mean") / F.col("parts")).alias("steps"))
+    return shares.select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), poisson_steps(F.col("mean") / F.col("parts")).alias("__steps"))
 
 
 def mix_sources(docs: DataFrame, target: dict | None = None, seed: int = 7, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -66,13 +68,14 @@ def mix_sources(docs: DataFrame, target: dict | None = None, seed: int = 7, id_c
     The output has as many rows as the input (its sources with weight) on average. target: {source: weight}, of any sum.
     """
     kept = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
-    table = rates(docs, target, source_col).select(F.col("source").alias("__source"), "parts", "steps")
-    if target is not None:
-        table = F.broadcast(table)  # at most len(target) rows
+    table = rates(docs, target, source_col)
+    # A broadcast spares the documents a shuffle by source, which hot sources would make uneven.
+    if target is not None or table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
     rows = docs.select(*kept).join(table, F.col(source_col).eqNullSafe(F.col("__source")))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: uniform(F.lit(str(seed)), key, i.cast("string")))
-    copies = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter("steps", lambda c: c <= u)))
+    draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda i: uniform(F.lit(str(seed)), key, i.cast("string")))
+    copies = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter("__steps", lambda c: c <= u)))
     rows = rows.withColumn("__copies", copies).where("__copies > 0")
     rows = rows.select(*kept, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
     rows = rows.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("copy").cast("string"), F.lit("order"))), 1, 15), 16, 10).cast("long"))
