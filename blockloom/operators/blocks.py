@@ -65,7 +65,7 @@ def basis_matrix() -> np.ndarray:
 def idct(blocks: DataFrame, coef: str = "coef", out: str = "px") -> DataFrame:
     """blocks with `out`, 64 samples before the level shift, by one matrix product per Arrow batch (M4).
 
-    Three to four times as fast as the join on many blocks (see bench.py), as no row is exploded or shuffled.
+    Faster than the join on many blocks (idct and level_shift in bench.py), as no row is exploded or shuffled.
     """
     matrix = basis_matrix()
 

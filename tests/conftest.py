@@ -14,7 +14,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     conf = {
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "2",
         "spark.ui.enabled": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "4g",
