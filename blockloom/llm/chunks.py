@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .graph import units
 from .tables import deal, pieces, scratch_path
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:

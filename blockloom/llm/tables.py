@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,20 +19,33 @@ _own: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; in local mode without it, a temporary folder."""
-    there = spark.conf.get(_SETTING, None)
+    there = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if there:
         return there.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_SETTING} to a folder that the driver and all executors share")
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="blockloom-")
+        folder = tempfile.mkdtemp(prefix="blockloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
 
 
+def _root(spark: SparkSession):
+    """The application's folder for tables, with its Hadoop file system; it goes when the driver's JVM ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return path, files
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path, _ = _root(spark)
+    return f"{path.toString()}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,16 +66,15 @@ def deal(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete all tables that this application materialized; call it once their results are written."""
+    """Delete all tables that this application materialized, once their results are written; else they go when it ends."""
     for t in spark.catalog.listTables():
         if t.name.startswith("chunks_"):
             spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path, files = _root(spark)
+    files.delete(path, True)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes in `column`; a longer value makes a batch of its own."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -126,7 +126,7 @@ def words_and_spans(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         after = before
     starts = np.flatnonzero(mask & ~before)
     ends = np.flatnonzero(mask & ~after) + 1
-    return hash_runs(data, starts, ends), np.searchsorted(starts, offsets), starts, ends, data
+    return hash_spans(data, starts, ends), np.searchsorted(starts, offsets), starts, ends, data
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
