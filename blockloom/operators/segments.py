@@ -68,7 +68,9 @@ def parse(images: DataFrame, max_segments: int = MAX_SEGMENTS) -> DataFrame:
         rest = B.latin(F.substring(content, after + 1, n))
         return B.let(rest, lambda r: B.let(F.regexp_instr(r, F.lit(_END_OF_SCAN)), lambda stop: B.slice_bytes(content, after, F.when(stop > 0, stop - 1).otherwise(F.length(r)))))
 
-    steps = F.greatest(F.least(F.lit(max_segments), (n / 2).cast("int")), F.lit(1))
+    # No more steps than there are FF bytes that aren't stuffed, and one that sees the end.
+    lead = F.regexp_count(B.latin(content), F.lit("\\xFF(?!\\x00)"))
+    steps = F.least(F.lit(max_segments), lead + 1)
     state = F.when(has_magic(), B.fold(steps, start, step))
     rows = B.once(images, __s=state)
     fault = F.when(F.col("__s").isNull(), "no_start_of_image").when(F.col("__s.fault").isNotNull(), F.col("__s.fault")).when(~F.col("__s.done"), "no_end_of_image")
