@@ -1,7 +1,7 @@
 """Operator 5: all pairs of vectors with a cosine similarity of 0.9 or more, by random-hyperplane sign hashing.
 
 Vectors with equal components are one class, which takes part once, by its smallest vec_id, with the number of its copies. In
-each of `tables(bits)` tables a class is put into the bucket of the signs of `bits` projections on
+each of `tables(bits)` tables, with bits from the number of classes, a class is put into the bucket of the signs of `bits` projections on
 random hyperplanes; two vectors at the threshold agree in a table with probability (1 - angle / pi) ** bits, and
 miss each other in all with a chance under MISS. Within a bucket all pairs that meet in no earlier table are
 verified by their cosine in double precision. Pairs are never rows: large buckets are cut into pairs of blocks, and a block pair
@@ -23,15 +23,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import block_pairs, components, forest, units
-from .tables import materialize
+from .tables import deal, materialize
 
 THRESHOLD = 0.9
-BITS = 10
+#: Vectors without a partner that share a bucket by chance, about.
+BUCKET = 64
 MISS = 1e-5
 BLOCK = 2048
 SEED = 11
 
 
+def bits_for(classes: int) -> int:
+    """Bits that leave about BUCKET unrelated vectors in a bucket, so work grows with a power well under two."""
+    return min(max(4, math.ceil(math.log2(max(classes, 1) / BUCKET))), 32)
+
+
 def tables(bits: int, threshold: float) -> int:
     """How many tables leave a pair at the threshold unmet with a chance under MISS."""
     agree = (1 - math.acos(threshold) / math.pi) ** bits
@@ -90,59 +96,60 @@ def hashed(reps: DataFrame, bits: int, threshold: float) -> DataFrame:
                     own = np.flatnonzero(lengths == size)
                     signs = unit_rows([packed[i] for i in own]) @ planes(size // 8, bits, count) >= 0
                     codes[own] = (signs.reshape(len(own), count, bits) * (1 << np.arange(bits))).sum(2)
-                key = (lengths[:, None].astype(np.int64) << 40) | (np.arange(count)[None, :] << 24) | codes
+                key = (np.arange(count, dtype=np.int64)[None, :] << 40) | codes
                 again = pa.array(np.repeat(np.arange(len(packed)), count))
                 text = pa.array([c.tobytes() for c in codes], pa.binary())
                 # The packed doubles hold floats as a rule; as floats they move at half the size.
                 small = [np.frombuffer(p, np.float64).astype(np.float32) for p in packed]
                 thin = pa.array([f.tobytes() if f.astype(np.float64).tobytes() == p else p for f, p in zip(small, packed, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(np.arange(count, dtype=np.int32), len(packed))), batch.column("vec_id").take(again), batch.column("copies").take(again), text.take(again), thin.take(again)], names=["bucket", "tab", "vec_id", "copies", "codes", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(np.arange(count, dtype=np.int32), len(packed))), pa.array(np.repeat((lengths // 8).astype(np.int32), count)), batch.column("vec_id").take(again), batch.column("copies").take(again), text.take(again), thin.take(again)], names=["bucket", "tab", "size", "vec_id", "copies", "codes", "v"])
 
     kind = dict(reps.dtypes)["vec_id"]
-    return reps.select("vec_id", "copies", "v").mapInArrow(run, f"bucket long, tab int, vec_id {kind}, copies long, codes binary, v binary")
-
-
-def close(unit: pa.Table, count: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a unit at the threshold that agree in no earlier table."""
-    n, tab = len(unit), unit.column("tab")[0].as_py()
-    size = (unit.column("bucket")[0].as_py() >> 40) // 8
-    packed = [p if len(p) == 8 * size else np.frombuffer(p, np.float32).astype(np.float64).tobytes() for p in unit.column("v").to_pylist()]
-    rows, codes = unit_rows(packed), np.frombuffer(b"".join(unit.column("codes").to_pylist()), np.uint32).reshape(n, count)
-    if unit.column("lo")[0].as_py() == unit.column("hi")[0].as_py():
-        left = right = np.arange(n)
-    else:
-        side = unit.column("own").to_numpy() == unit.column("hi")[0].as_py()
-        left, right = np.flatnonzero(~side), np.flatnonzero(side)
+    return reps.select("vec_id", "copies", "v").mapInArrow(run, f"bucket long, tab int, size int, vec_id {kind}, copies long, codes binary, v binary")
+
+
+def close(unit: pa.Table, count: int, threshold: float, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a unit at the threshold that agree in no earlier table. sizes: the vectors' lengths."""
+    tab = unit.column("tab")[0].as_py()
+    vectors, packed = unit.column("v").to_pylist(), unit.column("codes").to_pylist()
+    codes = np.frombuffer(b"".join(packed), np.uint32).reshape(len(unit), count)
+    one = unit.column("lo")[0].as_py() == unit.column("hi")[0].as_py()
+    side = unit.column("own").to_numpy() == unit.column("hi")[0].as_py()
     found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    for start in range(0, len(left), 512):
-        own = left[start : start + 512]
-        i, j = np.nonzero(rows[own] @ rows[right].T >= threshold)
-        a, b = own[i], right[j]
-        if left is right:
-            a, b = a[a < b], b[a < b]
-        for t in range(0, tab, 8):
-            new = ~(codes[a, t : min(t + 8, tab)] == codes[b, t : min(t + 8, tab)]).any(1)
-            a, b = a[new], b[new]
-        found.append((a, b))
+    for size in np.unique(sizes).tolist():
+        some = np.flatnonzero(sizes == size)
+        rows = unit_rows([v if len(v) == 8 * size else np.frombuffer(v, np.float32).astype(np.float64).tobytes() for v in (vectors[k] for k in some.tolist())])
+        left, right = (np.arange(len(some)),) * 2 if one else (np.flatnonzero(~side[some]), np.flatnonzero(side[some]))
+        for start in range(0, len(left), 512):
+            own = left[start : start + 512]
+            i, j = np.nonzero(rows[own] @ rows[right].T >= threshold)
+            a, b = some[own[i]], some[right[j]]
+            if one:
+                a, b = a[a < b], b[a < b]
+            for t in range(0, tab, 8):
+                new = ~(codes[a, t : min(t + 8, tab)] == codes[b, t : min(t + 8, tab)]).any(1)
+                a, b = a[new], b[new]
+            found.append((a, b))
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def cosine_links(vectors: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def cosine_links(vectors: DataFrame, threshold: float = THRESHOLD, bits: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id (smallest vec_id reachable) and kept, one row per vector."""
-    count = tables(bits, threshold)
     rows = materialize(classes(vectors, id_col, vector_col), "vectors")
     reps = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
     reps = materialize(reps, "vector-classes")
+    bits = bits_for(reps.count()) if bits is None else bits
+    count = tables(bits, threshold)
     kind = dict(reps.dtypes)["vec_id"]
     keys = ["bucket", "lo", "hi"]
-    pairs = block_pairs(hashed(reps, bits, threshold), "bucket", "vec_id", BLOCK).select(*keys, "own", "tab", "vec_id", "copies", "codes", "v")
-    pairs = pairs.repartition(*keys).sortWithinPartitions(*keys)
+    pairs = block_pairs(hashed(reps, bits, threshold), "bucket", "vec_id", BLOCK).select(*keys, "own", "tab", "size", "vec_id", "copies", "codes", "v")
+    pairs = deal(pairs, *keys)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in units(batches, 3):
             if len(unit) < 2:
                 continue
-            i, j = close(unit, count, threshold)
+            i, j = close(unit, count, threshold, unit.column("size").to_numpy())
             if not len(i):
                 continue
             ids, copies = unit.column("vec_id").combine_chunks(), unit.column("copies").to_numpy()
