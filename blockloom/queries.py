@@ -31,17 +31,28 @@ STREAM = (
     + b"\xff\xd9"
 )
 
+#: The most bytes that a segment holds besides its length.
+COMMENT = 65533
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as streams of one comment segment; a longer text does not fit a segment's length."""
-    docs = _read(spark, sf_dir, "documents").where("octet_length(text) + 2 < 65536")
-    size = F.unhex(F.lpad(F.hex(F.octet_length("text") + 2), 4, "0"))
-    content = F.concat(F.expr("X'FFD8FFFE'"), size, F.encode("text", "UTF-8"), F.expr("X'FFD9'"))
-    return images_from(docs.withColumn("content", content), "doc_id", "content")
+    """Documents as streams of comment segments: one, or as many as a longer text fills. A null text is an empty one."""
+    text = F.coalesce(F.encode("text", "UTF-8"), F.expr("X''"))
+
+    def comments(b):
+        def comment(k):
+            part = B.slice_bytes(b, k * COMMENT, COMMENT)
+            return F.concat(F.lit("FFFE"), F.lpad(F.hex(F.octet_length(part) + 2), 4, "0"), F.hex(part))
+
+        last = F.greatest(F.ceil(F.octet_length(b) / COMMENT).cast("int") - 1, F.lit(0))
+        return F.array_join(F.transform(F.sequence(F.lit(0), last), comment), "")
+
+    content = F.unhex(F.concat(F.lit("FFD8"), B.let(text, comments), F.lit("FFD9")))
+    return images_from(_read(spark, sf_dir, "documents").withColumn("content", content), "doc_id", "content")
 
 
 def _id(df: DataFrame) -> DataFrame:
