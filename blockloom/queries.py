@@ -104,9 +104,9 @@ def segment_payload(spark, sf_dir):
 
 
 def bit_expand(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
-    head = F.substring(F.encode("text", "UTF-8"), 1, 8)
-    return docs.select("doc_id", F.posexplode(B.byte_values(head)).alias("i", "v")).select("doc_id", "i", F.array_join(B.byte_bits(F.col("v")), "").alias("bits"))
+    docs = _read(spark, sf_dir, "documents").where("octet_length(text) > 0")
+    each = docs.select("doc_id", F.posexplode(F.split(B.latin(F.encode("text", "UTF-8")), "")).alias("i", "c"))
+    return each.select("doc_id", "i", F.lpad(F.bin(F.ascii("c")), 8, "0").alias("bits"))
 
 
 def _raw(spark, sf_dir):

@@ -52,3 +52,11 @@ def test_every_marker_is_found(spark, tables):
                 want.setdefault((d, s[i + 1]), []).append(i)
     assert sorted((r.doc_id, r.pos, r.code) for r in queries.marker_scan(spark, tables).collect()) == sorted((d, i, c) for (d, c), own in want.items() for i in own)
     assert {(r.doc_id, r.code): (r.n, r.first_pos, r.last_pos) for r in queries.marker_groups(spark, tables).collect()} == {k: (len(v), v[0], v[-1]) for k, v in want.items()}
+
+
+def test_every_byte_is_expanded(spark, tmp_path):
+    every = "".join(map(chr, range(0x110))) + "é日本𝄞\x00\n"
+    texts = {1: every, 2: None, 3: "", 4: "\x00", 5: "three short lines\n" * 20, 6: "y" * 70_000}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(d, i, format(v, "08b")) for d, t in texts.items() for i, v in enumerate((t or "").encode())]
+    assert sorted(map(tuple, queries.bit_expand(spark, str(tmp_path)).collect())) == want
