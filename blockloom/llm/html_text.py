@@ -43,8 +43,10 @@ BOILERPLATE = frozenset(
     "disqus reply replies respond discussion search toolbar topbar contentinfo complementary dialog alertdialog skip taboola outbrain".split()
 )
 END_SIGNS = re.compile(r"[.,;:!?。，、！？…]")
-#: Headings of what readers, editors or sellers add below an article: they and what follows in their element go.
+#: Headings of what readers, editors or sellers add to an article: they go with what follows in their element up to a heading of the same or a higher level.
 ADDED = re.compile(r"(?:\d+ )?(?:reader )?(?:comments?|kommentare?|commentaires?|comentarios?|responses?|replies|leave a (?:comment|reply)|related(?: (?:articles|posts|stories))?|share(?: this)?|advertisement)(?: ?\(\d+\))?:?", re.I)
+#: Those that stand between paragraphs, too: below an earlier block of the same element they go alone, as the article goes on.
+BETWEEN = re.compile(r"(?:share(?: this)?|advertisement)(?: ?\(\d+\))?:?", re.I)
 #: Notices outside an article element.
 LEGAL = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
 #: A path is content from this share of the page's highest smoothed ratio.
@@ -56,7 +58,7 @@ KERNEL = (1.0, 0.5, 0.2)
 class Block:
     __slots__ = ("text", "path", "ids", "linked", "heading", "main")
 
-    def __init__(self, text: str, path: tuple[str, ...], ids: tuple[int, ...], linked: int, heading: bool, main: bool):
+    def __init__(self, text: str, path: tuple[str, ...], ids: tuple[int, ...], linked: int, heading: int, main: bool):
         self.text, self.path, self.ids, self.linked, self.heading, self.main = text, path, ids, linked, heading, main
 
 
@@ -96,7 +98,7 @@ def blocks(page: str) -> list[Block]:
             whole = " ".join((html.unescape(whole) if "&" in whole else whole).split())
             if whole:
                 tags = [s[0] for s in stack]
-                out.append(Block(whole, tuple(s[1] for s in stack), tuple(s[2] for s in stack), min(linked, len(whole)), any(t in HEADINGS for t in tags), any(t in MAIN for t in tags)))
+                out.append(Block(whole, tuple(s[1] for s in stack), tuple(s[2] for s in stack), min(linked, len(whole)), next((int(t[1]) for t in reversed(tags) if t in HEADINGS), 0), any(t in MAIN for t in tags)))
         linked = 0
 
     def add(piece: str) -> None:
@@ -196,6 +198,22 @@ def ratios(found: list[Block]) -> list[float]:
     return smooth
 
 
+def without_added(found: list[Block]) -> list[Block]:
+    """The blocks without ADDED headings and what stands under them."""
+    keep, seen = [], set()
+    parent = level = 0
+    for k, b in enumerate(found):
+        if parent and (parent not in b.ids or 0 < b.heading <= level):
+            parent = 0
+        if not parent:
+            if not (b.heading and k and len(b.ids) > 1 and ADDED.fullmatch(b.text)):
+                keep.append(b)
+            elif not (BETWEEN.fullmatch(b.text) and b.ids[-2] in seen):
+                parent, level = b.ids[-2], b.heading
+        seen.update(b.ids)
+    return keep
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: its content blocks, one to a line."""
     if not page:
@@ -205,10 +223,7 @@ def main_text(page: str | None) -> str:
         found = [b for b in found if b.main]
     else:
         found = [b for b in found if not (LEGAL.match(b.text) and len(b.text) < 200)] or found
-    for k, b in enumerate(found):
-        if b.heading and k and len(b.ids) > 1 and ADDED.fullmatch(b.text):
-            found = found[:k] + [x for x in found[k + 1 :] if b.ids[-2] not in x.ids]
-            break
+    found = without_added(found)
     if not found:
         return ""
     smooth = ratios(found)

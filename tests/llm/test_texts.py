@@ -120,6 +120,25 @@ def test_small_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+A, B, JUNK = "The first part, as it is. It goes on, and on.", "The second part, as it is. It ends here, at last.", "Some other words, not of the article. Really."
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<p>{A}</p><h2>Related</h2><p>{JUNK}</p><h3>{JUNK}</h3><h2>Next</h2><p>{B}</p>", [A, "Next", B]),
+        (f"<p>{A}</p><h3>Responses</h3><p>{JUNK}</p><section><h2>Next</h2><p>{B}</p></section>", [A, "Next", B]),
+        (f"<p>{A}</p><h3>Advertisement</h3><p>{B}</p>", [A, B]),
+        (f"<p>{A}</p><div><h3>Advertisement</h3><p>{JUNK}</p></div><p>{B}</p>", [A, B]),
+        (f"<p>{A}</p><h2>Share</h2><h2>Next</h2><p>{B}</p><h2>Comments (2)</h2><p>{JUNK}</p>", [A, "Next", B]),
+        (f"<p>{A}</p><h2>Related</h2><p>{JUNK}</p><h2>Replies</h2><p>{JUNK}</p>", [A]),
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_an_article_goes_on_after_an_added_part(tag, body, want):
+    assert html_text.main_text(f"<{tag}><h1>Title</h1>{body}</{tag}>").split("\n") == ["Title", *want]
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (3, "v", "<p>" + "word, " * 100_000 + "</p>", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
