@@ -9,7 +9,6 @@ from ..functions import bytes as B
 from ..sources.images import has_magic
 from . import markers as M
 
-MAX_SEGMENTS = 1000
 _SEG = "struct<seq:int,code:int,off:int,len:int,payload:binary,data:binary>"
 #: A marker that ends entropy-coded data: FF and a byte that is neither 00, FF nor a restart's.
 _END_OF_SCAN = "\\xFF[^\\x00\\xFF\\xD0-\\xD7]"
@@ -20,7 +19,7 @@ def scan_markers(images: DataFrame) -> DataFrame:
     return images.select("image_id", F.explode(B.marker_positions(F.col("content"))).alias("m")).select("image_id", "m.pos", "m.code")
 
 
-def parse(images: DataFrame, max_segments: int = MAX_SEGMENTS) -> DataFrame:
+def parse(images: DataFrame) -> DataFrame:
     """images with `segs` (all segments in stream order) and `fault` (why the hop ended early, null if it did not).
 
     The hop goes from marker to marker by segment lengths, as a fold inside one row: there is no exchange, no recursion
@@ -70,8 +69,7 @@ def parse(images: DataFrame, max_segments: int = MAX_SEGMENTS) -> DataFrame:
 
     # No more steps than there are FF bytes that aren't stuffed, and one that sees the end.
     lead = F.regexp_count(B.latin(content), F.lit("\\xFF(?!\\x00)"))
-    steps = F.least(F.lit(max_segments), lead + 1)
-    state = F.when(has_magic(), B.fold(steps, start, step))
+    state = F.when(has_magic(), B.fold(lead + 1, start, step))
     rows = B.once(images, __s=state)
     fault = F.when(F.col("__s").isNull(), "no_start_of_image").when(F.col("__s.fault").isNotNull(), F.col("__s.fault")).when(~F.col("__s.done"), "no_end_of_image")
     return rows.withColumn("fault", fault).withColumn("segs", F.coalesce("__s.segs", none)).drop("__s")

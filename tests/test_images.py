@@ -161,6 +161,16 @@ def test_embedded_stream_is_not_scanned(spark):
     assert raw == 2
 
 
+def test_streams_of_many_segments(spark):
+    good = encode.gray_image(gray_blocks(1), 8, 8, [1] * 64)
+    many = {"segments": good[:2] + encode.segment(0xE1, b"x") * 1500 + good[2:], "fill": good[:2] + b"\xff" * 1500 + good[2:]}
+    df = images(spark, **many)
+    shot = decode.decode_images(df).collect()
+    for name in many:
+        assert np.array_equal(plane(shot, name), expected(gray_blocks(1), [1] * 64, 8, 8))
+    assert decode.image_errors(df).count() == 0
+
+
 def test_stream_of_files(spark, tmp_path):
     from blockloom.streaming import stream_frames, stream_images
 
