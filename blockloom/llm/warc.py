@@ -70,7 +70,7 @@ def parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
         raise ValueError("no version line")
     fields, line = {}, m.end()
     while True:
-        stop = data.find(b"\n", line, line + 65536)
+        stop = data.find(b"\n", line)
         if stop < 0:
             raise ValueError("header does not end")
         text = data[line:stop].rstrip(b"\r")

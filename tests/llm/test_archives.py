@@ -29,6 +29,14 @@ def test_salvage_reads_whole_archives(packed):
     assert [(f["warc-record-id"], b) for _, f, b in found] == [(f"<{i}>", p) for i, p, _ in own] and gaps == []
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_records_of_very_long_urls(packed):
+    url = "http://e/" + "x y" * 50_000
+    whole = warc.record("response", "urn:x-record:1", url, b"page", hashlib.sha1(b"page").hexdigest()) + warc.END
+    found, gaps = warc.salvage(archive([("", b"", whole)], packed))
+    assert [(f["warc-target-uri"], b) for _, f, b in found] == [(url.replace(" ", "%20"), b"page")] and gaps == []
+
+
 @pytest.mark.parametrize("packed", [False, True])
 @pytest.mark.parametrize("damage", ["flip", "cut", "junk", "tail", "length"])
 def test_salvage_recovers_later_records(packed, damage):
