@@ -21,7 +21,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     rows = toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return rows.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

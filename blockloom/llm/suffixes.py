@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .chunks import SENT, Chunks, deltas, exchange, pack, pack_ids, range_count, ranges, sender, small, unpack, unpack_ids
 from .tables import pieces
-from .text import Runs, flat_bytes, hash_spans, mix
+from .text import Runs, flat_bytes, mix, window_hashes
 
 LENGTH = 50
 K = 24
@@ -106,7 +106,7 @@ def _told(row: dict, name: str, count: int, offset: int = 0) -> list[list[np.nda
 def _anchor_keys(row: dict) -> tuple:
     chunk = _chunk(row)
     data, _, start, end, anchor, owner = chunk
-    return chunk, hash_spans(data, anchor, anchor + K)
+    return chunk, window_hashes(data, anchor, anchor + K)
 
 
 def _send_anchors(count: int):
@@ -161,7 +161,7 @@ def _variants(row: dict) -> tuple:
     states = _states(row, keys)
     ids = _documents(row)
     some = np.flatnonzero((states == REPEATED) & (ids[owner] != NOWHERE))
-    key, own = keys[some], hash_spans(data, start[some], end[some])
+    key, own = keys[some], window_hashes(data, start[some], end[some])
     order = np.lexsort((own, key))
     new = _first(key[order]) | _first(own[order])
     at = np.flatnonzero(new)
@@ -209,7 +209,7 @@ def _to_merge(row: dict) -> tuple:
     spread = np.flatnonzero((states == SPREAD) & (ids[owner] != NOWHERE))
     counts = end[spread] - start[spread] - LENGTH + 1
     begin = np.repeat(start[spread] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    hashes = hash_spans(data, begin, begin + LENGTH)
+    hashes = window_hashes(data, begin, begin + LENGTH)
     order = np.argsort(hashes, kind="stable")
     new = _first(hashes[order])
     string = np.empty(len(begin), np.int64)

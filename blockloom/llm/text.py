@@ -1,8 +1,8 @@
 """Arrow text columns as flat arrays: bytes, words and word shingles, hashed without Python strings.
 
 A *word* is a maximal run of letters, digits, combining marks and ``_`` of the
-lower-cased text. Word hashes are polynomial hashes modulo 2**64 over random byte
-values, read off one prefix sum for the whole batch, and then mixed; equal words have
+lower-cased text, whatever else the batch holds. A word's hash mixes its bytes eight at a time, nonlinearly, so
+no family of words has equal hashes by construction; equal words have
 equal hashes in every process. A null text counts as the empty text.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15 | 1)
@@ -61,22 +62,54 @@ def flat_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(byte position, code point) of each character of valid UTF-8."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    points = data[at].astype(np.int32)
+    wide = np.flatnonzero(points >= 0xC0)
+    if len(wide):
+        padded = np.concatenate([data, np.zeros(3, np.uint8)])
+        lead, where = points[wide], at[wide]
+        n = 1 + (lead >= 0xE0) + (lead >= 0xF0)
+        value = lead & (0x3F >> n)
+        for k in (1, 2, 3):
+            more = n >= k
+            value[more] = value[more] << 6 | padded[where[more] + k] & 0x3F
+        points[wide] = value
+    return at, points
+
+
+_in_word = np.full(0x110000, 2, np.uint8)  # of a code point: 0 no, 1 yes, 2 not asked yet
+
+
+def _word_points(points: np.ndarray) -> np.ndarray:
+    """Whether each code point is a letter, digit, combining mark or ``_``."""
+    kinds = _in_word[points]
+    if (kinds == 2).any():
+        new = np.unique(points[kinds == 2])
+        _in_word[new] = pc.match_substring_regex(pa.array([chr(x) for x in new.tolist()]), r"^[\pL\pN\pM_]$").to_numpy(zero_copy_only=False)
+        kinds = _in_word[points]
+    return kinds == 1
+
+
 def word_text(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, row offsets, word mask) of the lower-cased column.
+    """(bytes, row offsets, word mask) of the lower-cased column; a byte's mask is that of its character.
 
-    The byte mask is exact for ASCII and the two-byte letters led by 0xC3; if any other
-    lead byte occurs, what is neither letter, digit, mark nor ``_`` is first replaced by a space.
+    Bytes of ASCII and of the two-byte letters led by 0xC3 need no look at the characters.
     """
-    lowered = pc.utf8_lower(column.cast(pa.large_string()))
-    data, offsets = flat_bytes(lowered)
+    data, offsets = flat_bytes(pc.utf8_lower(column.cast(pa.large_string())))
     lead = data >= 0xC0
     if lead.any() and (bool((data[lead] != 0xC3).any()) or bool(((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))).any())):
-        data, offsets = flat_bytes(pc.replace_substring_regex(lowered, r"[^\pL\pN\pM_]+", " "))
+        at, points = code_points(data)
+        return data, offsets, np.repeat(_word_points(points), np.diff(np.append(at, len(data))))
     return data, offsets, _ASCII_WORD[data]
 
 
 class Runs:
-    """Mixed hashes of data[start:end] for many pairs; equal contents have equal hashes."""
+    """Mixed polynomial hashes modulo 2**64 of data[start:end] for many pairs; equal contents have equal hashes.
+
+    For short overlapping spans: there are unequal ones of a thousand bytes with equal hashes for any base.
+    """
 
     def __init__(self, data: np.ndarray):
         up, self.down = powers(len(data) + 1)
@@ -88,8 +121,8 @@ class Runs:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
-    """As hash_runs(), for ascending starts and short spans: block by block, in little memory."""
+def window_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """Runs(data).hashes() for ascending starts and spans of a hundred bytes or less: block by block, in little memory."""
     out = np.empty(len(starts), np.uint64)
     cuts = np.searchsorted(starts, np.arange(0, len(data) + block, block))
     for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
@@ -99,8 +132,37 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: in
     return out
 
 
-def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Runs(data).hashes(starts, ends) if len(starts) else np.empty(0, np.uint64)
+#: Spans of more bytes than this are hashed one by one.
+LONG_SPAN = 64
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+class Spans:
+    """Hashes of data[start:end] for many pairs, whatever their lengths; equal contents have equal hashes."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        self.eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+    def load(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The n bytes (0 to 8) at each place as one number."""
+        return self.eights[at] & _LOW_BYTES[n]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        out = size.astype(np.uint64) * _P
+        some, k = np.flatnonzero(size <= LONG_SPAN), 0
+        while len(some):
+            left = size[some] - k
+            out[some] = mix((out[some] ^ self.load(starts[some] + k, np.minimum(left, 8))) * _Q + U64(k + 1))
+            some, k = some[left > 8], k + 8
+        for i in np.flatnonzero(size > LONG_SPAN).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[starts[i] : ends[i]])
+        return out
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return Spans(data).hashes(starts, ends) if len(starts) else np.empty(0, np.uint64)
 
 
 def words(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .tables import pieces
-from .text import flat_bytes, hash_runs
+from .text import code_points, flat_bytes, hash_spans
 
 BLOCK = 64
 ARCS = 4_000_000
@@ -84,23 +84,6 @@ def classes() -> np.ndarray:
     return _classes[0]
 
 
-def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(byte position, code point) of each character of valid UTF-8."""
-    at = np.flatnonzero((data & 0xC0) != 0x80)
-    points = data[at].astype(np.int32)
-    wide = np.flatnonzero(points >= 0xC0)
-    if len(wide):
-        padded = np.concatenate([data, np.zeros(3, np.uint8)])
-        lead, where = points[wide], at[wide]
-        n = 1 + (lead >= 0xE0) + (lead >= 0xF0)
-        value = lead & (0x3F >> n)
-        for k in (1, 2, 3):
-            more = n >= k
-            value[more] = value[more] << 6 | padded[where[more] + k] & 0x3F
-        points[wide] = value
-    return at, points
-
-
 def run_transducer(kinds: np.ndarray) -> np.ndarray:
     """True where a pretoken starts, for one sequence of classes with a C_STOP after each text."""
     n = len(kinds)
@@ -198,7 +181,7 @@ class Transducer:
         ends = np.append(starts[1:], len(data))
         row = np.searchsorted(offsets, starts, side="right") - 1
         ends = np.minimum(ends, offsets[row + 1])
-        emits = self.arcs(hash_runs(data, starts, ends), data, starts, ends)
+        emits = self.arcs(hash_spans(data, starts, ends), data, starts, ends)
         return extra + np.bincount(rows[row], emits, n).astype(np.int64)
 
 

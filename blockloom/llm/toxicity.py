@@ -7,12 +7,15 @@ deterministic table; running it over a clause ends in a state that names the pat
 the weight of its insults or threats times that pattern's factor. A document's evidence is
 the sum over its clauses, and a logistic curve maps it to a score. A word outside any matching clause counts nothing.
 
-The lexicon holds seed words of four languages and terms learned from labelled rows: words and word
+Clauses end at BREAK characters of the text itself, so a row's score depends on that row alone, whatever else its batch holds. The
+second half of a contraction ("don't", with either apostrophe) is a negation.
+
+The lexicon holds seed words of four languages and terms learned from labelled rows: all words and word
 beginnings that toxic rows have significantly more often. Learning and the curve use at most `max_labelled` rows of each label,
 those with the smallest hash of doc_id (MAX_LABELLED by default); scoring covers every whole text.
 
 Defined results: null and empty texts have no clause and get the curve's value at no evidence; rows with equal
-doc_id are scored alike one by one; labels that are null or have a null doc_id teach nothing, of several labels of a doc_id the
+doc_id are scored one by one, those with a null doc_id like any other; labels that are null or have a null doc_id teach nothing, of several labels of a doc_id the
 largest counts; without rows of both labels the seed grammar and a fixed curve are used; an empty table gives no row. Columns
 of docs beyond id and text are neither read nor returned.
 """
@@ -20,22 +23,19 @@ of docs beyond id and text are neither read nor returned.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import pieces
-from .text import Runs, hash_runs, mix, shingles, words, words_and_spans
+from .tables import materialize, pieces
+from .text import Spans, hash_spans, mix, shingles, words, words_and_spans
 
 #: Rows of each label that learning reads at most.
 MAX_LABELLED = 5000
-#: Learned terms kept at most, by significance.
-MAX_TERMS = 2000
 #: A term is significant from this log-likelihood ratio, and counts from this log odds ratio.
 LEAST_G2, LEAST_ODDS = 24.0, 2.0
 PREFIXES = range(4, 8)
@@ -44,13 +44,14 @@ SEEDS: dict[int, str] = {
     INSULT: "idiot idiots moron morons stupid scum trash loser losers clown pathetic worthless disgusting imbecile dumbass jerk dumm trottel abschaum versager widerlich wertlos idiote imbécile ordure minable débile dégoûtant estúpido basura escoria perdedor asqueroso imbécil",
     THREAT: "kill destroy hurt murder beat shoot stab töten umbringen vernichten tuer détruire frapper matar destruir golpear",
     TARGET: "you your yourself u he she they them these those people du dich euch ihr sie dein vous toi tu ton votre eux ils tú te ti usted ustedes ellos vosotros",
-    NEGATION: "not no never none isn't aren't don't nicht kein keine nie pas jamais aucun nunca jamás ningún",
+    NEGATION: "not no never none nicht kein keine nie pas jamais aucun nunca jamás ningún",
     REPORT: "said says wrote called quoted according claims claimed sagte sagt schrieb laut dit écrit selon dijo dice escribió según",
 }
 SEED_WEIGHT = 3.0
 NEGATION_SCOPE = 3
 BREAK = np.zeros(256, bool)
 BREAK[list(b".!?;\n")] = True
+APOSTROPHES = (b"'", "’".encode())
 
 
 # The component transducers: state x tag -> state. A clause begins in state 0 of each.
@@ -103,7 +104,18 @@ def factor(state: tuple[int, int, int, int]) -> float:
 
 
 FACTORS = [factor(s) for s in STATES]
-WORD = re.compile(r"\w+")
+
+
+def contracted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The words that are the t of a contraction: a single t, and before it an apostrophe and an n."""
+    some = np.flatnonzero((ends - starts == 1) & (data[starts] == ord("t")))
+    found = [some[:0]]
+    for mark in APOSTROPHES:
+        before = b"n" + mark
+        at = starts[some] - len(before)
+        own, at = some[at >= 0], at[at >= 0]
+        found.append(own[np.logical_and.reduce([data[at + k] == x for k, x in enumerate(before)])])
+    return np.concatenate(found)
 
 
 class Grammar:
@@ -121,16 +133,16 @@ class Grammar:
             groups.setdefault(len(b) if term.endswith("*") else 0, []).append((b, tag, weight))
         for length, own in sorted(groups.items()):
             data, ends = np.frombuffer(b"".join(x[0] for x in own), np.uint8), np.cumsum([len(x[0]) for x in own])
-            keys = hash_runs(data, np.concatenate([[0], ends[:-1]]), ends)
+            keys = hash_spans(data, np.concatenate([[0], ends[:-1]]), ends)
             order = np.argsort(keys)
             self.lexicon.append((length, keys[order], np.array([x[1] for x in own], np.uint8)[order], np.array([x[2] for x in own])[order]))
 
     def tag(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lexicon transducer: tag and weight of each word; of several entries the heaviest holds."""
+        """The lexicon transducer: tag and weight of each word; of several entries the heaviest holds, of equal ones the first."""
         tags, weights = np.zeros(len(starts), np.uint8), np.full(len(starts), -1.0)
         if not len(starts):
             return tags, weights
-        runs = Runs(data)
+        runs = Spans(data)
         for length, keys, kinds, own in self.lexicon:
             some = np.arange(len(starts)) if not length else np.flatnonzero(ends - starts > length)
             if not len(some):
@@ -142,6 +154,7 @@ class Grammar:
             better = own[at] > weights[some]
             some, at = some[better], at[better]
             tags[some], weights[some] = kinds[at], own[at]
+        tags[contracted(data, starts, ends)] = NEGATION
         return tags, weights
 
     def evidence(self, column: pa.Array) -> np.ndarray:
@@ -170,15 +183,17 @@ class Grammar:
         return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * np.log1p(evidence), -40, 40)))
 
 
-def g2(pos: float, neg: float, all_pos: float, all_neg: float) -> float:
-    """Log-likelihood ratio of a 2 x 2 table of rows with and without the term."""
-    total = 0.0
-    for seen, rows in ((pos, all_pos), (neg, all_neg)):
-        share = (pos + neg) / (all_pos + all_neg)
-        for n, p in ((seen, share), (rows - seen, 1 - share)):
-            if n > 0:
-                total += 2 * n * math.log(n / (rows * p))
-    return total
+def log_odds(all_pos: int, all_neg: int) -> Column:
+    """The log odds ratio of a term that `pos` of all_pos and `neg` of all_neg rows have."""
+    odds = lambda n, rows: F.log((F.col(n) + 0.5) / (F.lit(rows) - F.col(n) + 0.5))
+    return odds("pos", all_pos) - odds("neg", all_neg)
+
+
+def likelihood_ratio(all_pos: int, all_neg: int) -> Column:
+    """Log-likelihood ratio of the 2 x 2 table of rows with and without the term."""
+    share = (F.col("pos") + F.col("neg")) / (all_pos + all_neg)
+    part = lambda n, expected: F.when(n > 0, 2 * n * F.log(n / expected)).otherwise(0.0)
+    return sum((part(F.col(n), rows * share) + part(rows - F.col(n), rows * (1 - share)) for n, rows in (("pos", all_pos), ("neg", all_neg))), F.lit(0.0))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, int]]:
@@ -223,29 +238,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(WORD.findall((text or "").lower()))
-                terms = {w for w in words if len(w) <= 40} | {f"{w[:n]}*" for w in words for n in PREFIXES if len(w) > n}
-                seen[toxic].update(terms)
+        for batch in pieces(batches, "text"):
+            _, offsets, starts, ends, data = words_and_spans(batch.column(0))
+            whole, cuts = data.tobytes(), list(zip(starts.tolist(), ends.tolist(), strict=True))
+            for toxic, first, last in zip(batch.column(1).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                words = {whole[a:b].decode() for a, b in cuts[first:last]}
+                seen[toxic].update(words | {f"{w[:n]}*" for w in words for n in PREFIXES if len(w) > n})
                 seen[toxic][""] += 1
         terms = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], names=["term", "pos", "neg"])
 
     found = rows.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ratio = (F.col("pos") + 0.5) / (F.col("neg") + 0.5)
-    # The most telling terms; the empty term counts the rows themselves.
-    top = found.where("pos >= 3 OR term = ''").orderBy((F.col("term") == "").desc(), (F.col("pos") * F.log(ratio * (counts[0] / counts[1]))).desc(), "term").limit(4 * MAX_TERMS).collect()
-    all_pos, all_neg = next(((r["pos"], r["neg"]) for r in top if r["term"] == ""), (0, 0))
-    if not all_pos or not all_neg:
+    found = materialize(found, "terms")
+    size = found.where("term = ''").first()  # the empty term counts the rows themselves
+    if not size or not size["pos"] or not size["neg"]:
         return Grammar()
-    learned: dict[str, tuple[float, float]] = {}
-    for r in top:
-        odds = math.log((r["pos"] + 0.5) / (all_pos - r["pos"] + 0.5)) - math.log((r["neg"] + 0.5) / (all_neg - r["neg"] + 0.5))
-        if r["term"] and odds >= LEAST_ODDS and (x := g2(r["pos"], r["neg"], all_pos, all_neg)) >= LEAST_G2:
-            learned[r["term"]] = (x, min(odds, 6.0))
-    kept = sorted(learned, key=lambda t: (-learned[t][0], t))[:MAX_TERMS]
-    grammar = Grammar({t: learned[t][1] for t in kept})
+    odds, g2 = log_odds(size["pos"], size["neg"]), likelihood_ratio(size["pos"], size["neg"])
+    told = found.where("term <> ''").select("term", odds.alias("odds"), g2.alias("g2")).where((F.col("odds") >= LEAST_ODDS) & (F.col("g2") >= LEAST_G2))
+    learned = {r["term"]: min(r["odds"], 6.0) for r in told.collect()}  # significant in a sample of 2 * max_labelled rows
+    grammar = Grammar(learned)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):

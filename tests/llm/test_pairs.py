@@ -160,3 +160,13 @@ def test_containment_in_blocks_and_edges(spark):
     assert decontamination.find(docs, items.limit(0)).count() == 0
     assert decontamination.drop_leaks(docs, items.limit(0)).count() == 32
     assert decontamination.find(docs.limit(0), items).count() == 0
+
+
+def test_hashes_of_long_words_differ():
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [word[:n] for n in (8, 64, 65, 1024, 2048)] + [other[:n] for n in (8, 64, 65, 1024, 2048)]
+    hashes, _ = text.words(pa.array(rows))
+    assert len(set(hashes.tolist())) == len(rows)

@@ -8,7 +8,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from helpers import documents, sentences, words
+from oracle import DATA
 from pyspark.sql import functions as F
 
 from blockloom.llm import backoff, html_text, mixing, suffixes, token_counts, toxicity
@@ -72,6 +74,53 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), grammar).count() == 0
 
 
+def brute_evidence(grammar, text):
+    """The clauses' sum with the component transducers one by one, on Python strings."""
+    total = 0.0
+    for clause in regex.split(r"[.!?;\n]", (text or "").lower()):
+        scope = said = aim = held = 0
+        weight = 0.0
+        for m in regex.finditer(r"[\p{L}\p{N}\p{M}_]+", clause):
+            w, before = m[0], clause[: m.start()]
+            found = [(x, -len(t), tag) for t, (tag, x) in grammar.terms.items() if (w == t or t[-1] == "*" and w.startswith(t[:-1]) and len(w.encode()) > len(t[:-1].encode()))]
+            x, _, tag = max(found, key=lambda f: f[0], default=(0.0, 0, toxicity.OTHER))
+            if w == "t" and before.endswith(("n'", "n’")):
+                tag = toxicity.NEGATION
+            if tag in (toxicity.INSULT, toxicity.THREAT):
+                weight += x
+            rewritten = tag + 8 if scope and tag in (toxicity.INSULT, toxicity.THREAT) else tag
+            scope, said, aim, held = toxicity.negation(scope, tag), toxicity.reported(said, tag), toxicity.target(aim, tag), toxicity.insult(held, rewritten)
+        total += weight * toxicity.factor((scope, said, aim, held))
+    return total
+
+
+MIXED = ["you said hello friend. they are not here. what an idiot move", "x — y", "“you” idiot! 日本 idiot。 not。idiot", "you aren’t an idiot; you don't kill. idiot\nkill you", "ÉCRIT “imbécile” – töten İ ǅ idiot", "×idiot÷ ½idiot idiot_ you", "не idiot́ you.", None, "", "’t idiot n't idiot can't idiot", "t idiot 't"]
+
+
+def test_scores_equal_a_brute_force_scorer(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] if DATA.exists() else []
+    docs, known = (documents(spark, rows), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")) if rows else (None, None)
+    learned = toxicity.fit(docs, known) if rows else toxicity.Grammar()
+    grammar = toxicity.Grammar({t: x for t, (tag, x) in list(learned.terms.items())[:300] if tag == toxicity.INSULT} | {"frien*": 1.5, "friend": 0.5, "moveme*": 2.0})
+    texts = MIXED + [t for _, t in rows]
+    assert np.allclose(grammar.evidence(pa.array(texts, pa.string())), [brute_evidence(grammar, t) for t in texts])
+
+
+def test_scores_do_not_depend_on_the_batch(spark):
+    grammar = toxicity.Grammar({"frien*": 1.5})
+    alone = [grammar.evidence(pa.array([t], pa.string()))[0] for t in MIXED]
+    assert len({x for x in alone if x}) > 4
+    assert grammar.evidence(pa.array(MIXED, pa.string())).tolist() == alone
+    for n in (1, 2, 7):
+        got = {r.doc_id: r.evidence for r in toxicity.score(documents(spark, list(enumerate(MIXED))).repartition(n), grammar).collect()}
+        assert got == dict(enumerate(alone))
+
+
+def test_contractions_are_negations():
+    score = lambda t: toxicity.Grammar().evidence(pa.array([t]))[0]
+    assert score("don't idiot") == score("don’t idiot") == score("aren't idiot") == score("not idiot") < score("t idiot")
+
+
 # 3
 def test_backoff_equals_brute_force(spark):
     rows = [(k, sentences(random.Random(k).randrange(0, 80), k, 25)) for k in range(60)] + [(70, None), (71, ""), (72, "one"), (73, "one two"), (74, "one two"), (74, "one two")]
