@@ -1,4 +1,4 @@
-"""What the pair operators share: blocks of large groups, runs of sorted keys and connected components."""
+"""What the pair operators share: joins on uneven keys, blocks of large groups, runs of sorted keys and connected components."""
 
 from __future__ import annotations
 
@@ -12,6 +12,25 @@ from pyspark.sql import functions as F
 from .tables import materialize
 
 
+#: A key is hot from this share of a join's rows, so there are at most 1,000 hot keys.
+HOT_SHARE = 0.001
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows joined to table on keys, without a task that gets all rows of a hot key.
+
+    table has a row for each key, `weight` says how many of the `total` rows have it. Hot keys' entries, at most
+    1 / HOT_SHARE, are broadcast; the rows of the others are exchanged, a thousandth of them at most to one key.
+    """
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    side = table.withColumnsRenamed(names)
+    hot = side.where(F.col(weight) > total * HOT_SHARE)
+    on = [F.col(k) == F.col(own) for k, own in names.items()]
+    both = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*names.values())), on, "left_anti").join(side.where(F.col(weight) <= total * HOT_SHARE), on)
+    return both.unionByName(rest).drop(*names.values())
+
+
 def block_pairs(members: DataFrame, key: str, id_col: str, block: int, counted: DataFrame | None = None) -> DataFrame:
     """members with `lo`, `hi` and `own`: the pairs of blocks of its group that a member takes part in.
 
@@ -74,20 +93,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every id in edges (a, b): the smallest id reachable, by alternating large and small stars.
 
     Each round is two partially aggregated minima and two joins and is written to the shared folder, so lineage
-    stays short; the number of rounds grows with the logarithm of the longest path. The rows never exceed the edges.
+    stays short; the number of rounds grows with the logarithm of the longest path. The rows never exceed the edges, and
+    the centre of a large star is a hot key of the joins, so its rows stay where they are. Ids may be of any ordered type.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     now = materialize(now, "edges")
     for _ in range(rounds):
         split = now.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
-        deeper = now.join(now.select(F.col("u").alias("k")), F.col("v") == F.col("k"), "left_semi")
-        if split.isEmpty() and deeper.isEmpty():  # each id points to one other, and that to none
-            roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
+        upper, lower = now.select(F.col("u").alias("id")).distinct(), now.select(F.col("v").alias("id")).distinct()
+        if split.isEmpty() and upper.join(lower, "id", "left_semi").isEmpty():  # each id points to one other, and that to none
+            roots = lower.select("id", F.col("id").alias("component"))
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+        total = 2 * now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = large.join(low, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        large = join_hot(both, low, ["u"], "n", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+        small = join_hot(large, low, ["u"], "n", total).select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now = materialize(small, "edges")
     raise RuntimeError("connected components did not settle")

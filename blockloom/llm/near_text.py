@@ -2,16 +2,19 @@
 
 Documents with equal shingle sets (by a 128-bit hash) are one class, which takes part once, by its smallest
 doc_id, with the number of its copies. Each class has FUNCTIONS MinHash values. Bands of ROWS values put
-classes into buckets (a pair at the threshold misses all of them with a chance of 3e-6), and what buckets connect is a group.
-Within a group, pairs are compared by *Bayesian candidate pruning*: after each STEP values the posterior of the
+classes into buckets; a pair at the threshold misses all of them with a chance of 3e-6. A class is at home in the largest of its
+buckets, and a home of many members is cut by hash into blocks of at most BLOCK members or BLOCK_BYTES, about. Two blocks are
+compared if a bucket has members of both, and once, however many buckets they share: a class travels
+with its home, and chains of groups that overlap don't grow into one.
+Within a pair of blocks, classes are compared by *Bayesian candidate pruning*: after each STEP values the posterior of the
 similarity under a uniform prior is Beta(m + 1, n - m + 1) with m of n values equal, and a pair is dropped
 once its chance of reaching the threshold is below TOLERANCE. What stays is verified exactly on the shingle sets. Pairs
-are never rows: large groups are cut into pairs of blocks, and a block pair returns each member's number of
+are never rows: a pair of blocks returns each member's number of
 links and a spanning forest of them, which distributed connected components join.
 
 Defined results: a document of one to four words has one shingle, all its words; a text without words (null and
 empty ones among them) links with nothing; rows with a null doc_id are not searched and not returned; rows with equal doc_id
-count as documents of their own that share a class; an empty table gives no row. Other columns are ignored.
+count as documents of their own, alike or not, so a repeated row is a copy of the first and is kept or dropped with it; an empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import block_pairs, components, forest, units
+from .graph import components, forest, join_hot, units
 from .tables import deal, materialize, pieces
 from .text import mix, shingles_or_whole, words
 
@@ -33,7 +36,7 @@ BANDS, ROWS = 32, 5
 FUNCTIONS = BANDS * ROWS
 STEP = 32
 TOLERANCE = 1e-6
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 FACTORS = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -50,6 +53,12 @@ def least_matches(n: int, threshold: float, tolerance: float = TOLERANCE) -> int
     return n
 
 
+def class_hash(own: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits of an ascending set of shingles."""
+    place = np.arange(1, 2 * len(own), 2, dtype=np.uint64)
+    return (own * place).sum(), mix(own + place).sum()
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the class hash (ha, hb), n (distinct shingles) and sig (FUNCTIONS 32-bit MinHash values)."""
 
@@ -60,8 +69,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for i in np.flatnonzero(np.diff(offsets)).tolist():
                 own = np.unique(x[offsets[i] : offsets[i + 1]])
                 n[i] = len(own)
-                place = np.arange(1, 2 * len(own), 2, dtype=np.uint64)
-                ha[i], hb[i] = (own * place).sum(), (mix(own + place)).sum()
+                ha[i], hb[i] = class_hash(own)
             some = np.flatnonzero(n)
             sig = np.zeros((len(some), FUNCTIONS), np.uint32)
             for j, f in enumerate(FACTORS):
@@ -75,24 +83,39 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ha long, hb long, n int, sig binary")
 
 
-def bucket_edges(classes: DataFrame) -> DataFrame:
-    """(a, b): each class with the smallest class of every bucket that it shares."""
+def buckets(classes: DataFrame) -> DataFrame:
+    """cid, n and key of each of the BANDS buckets of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(batch), FUNCTIONS).astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(len(batch), FUNCTIONS).astype(np.uint64)
             keys = np.empty((len(batch), BANDS), np.uint64)
             for b in range(BANDS):
                 h = np.full(len(batch), b + 1, np.uint64)
                 for j in range(b * ROWS, b * ROWS + ROWS):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, j])
                 keys[:, b] = h
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), BANDS))), pa.array(keys.view(np.int64).ravel())], names=["doc_id", "key"])
+            again = pa.array(np.repeat(np.arange(len(batch)), BANDS))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), pa.array(keys.view(np.int64).ravel())], names=["cid", "n", "key"])
+
+    return classes.select("cid", "n", "sig").mapInArrow(run, "cid long, n int, key long")
+
 
-    kind = dict(classes.dtypes)["doc_id"]
-    rows = classes.select("doc_id", "sig").mapInArrow(run, f"doc_id {kind}, key long")
-    low = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select(F.col("key").alias("k"), "a")
-    return rows.join(low, F.col("key") == F.col("k")).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+def blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cid, block) of the classes that share a bucket, and (block, lo, hi): the pairs of blocks that each is compared in."""
+    rows = buckets(classes)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("n") * F.lit(8)).alias("bytes")).where("members > 1")
+    held = materialize(join_hot(rows.select("cid", "key"), sizes, ["key"], "members", BANDS * classes.count()), "buckets")
+    home = held.groupBy("cid").agg(F.max(F.struct("members", "key", "bytes")).alias("home"))
+    parts = F.ceil(F.greatest(F.col("home.members") / BLOCK, F.col("home.bytes") / BLOCK_BYTES))
+    home = materialize(home.select("cid", F.xxhash64("home.key", F.pmod(F.xxhash64("cid"), parts)).alias("block")), "blocks")
+    met = held.select("key", "cid").join(home, "cid").select("key", "block").distinct()
+    several = met.groupBy("key").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("key")
+    met = materialize(met.join(several, "key"), "bucket-blocks")
+    cross = met.withColumnRenamed("block", "lo").join(met.withColumnRenamed("block", "hi"), "key").where("lo < hi").select("lo", "hi").distinct()
+    both = cross.select(F.explode(F.array("lo", "hi")).alias("block"), "lo", "hi")
+    own = home.select("block").distinct().select("block", F.col("block").alias("lo"), F.col("block").alias("hi"))
+    return home, own.unionByName(both)
 
 
 def shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -148,45 +171,57 @@ def links(sig: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, thre
     return a[good], b[good]
 
 
-def link_counts(groups: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, links): for each class with links their number (b null), and the edges of a spanning forest (links 0)."""
-    kind = dict(groups.dtypes)["doc_id"]
+def link_counts(classes: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(a, b, links): for each class with links their number (b null), and the edges of a spanning forest (links 0).
+
+    a and b: struct<first, cid> of a class, ordered by its smallest doc_id.
+    """
+    kind = dict(classes.dtypes)["first"]
+    home, pairs = blocks(classes)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    # Repeated rows of a doc_id: the one whose class hash is that of the class stays below.
-    rows = groups.join(texts, F.col("doc_id") == F.col("__id")).drop("__id")
+    rows = classes.join(home, "cid").join(texts, F.col("first") == F.col("__id")).drop("__id")
+    kept = ["cid", "first", "copies", "block", "sig"]
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingles of one row of each class: of rows with the class's doc_id one whose text has its hash."""
+        seen: set[int] = set()  # a task's classes
         for batch in pieces(batches, "__text"):
             x, offsets = shingles_or_whole(*words(batch.column("__text")))
-            sets = [np.unique(x[offsets[i] : offsets[i + 1]]).tobytes() for i in range(len(batch))]
-            keep = pa.array([len(s) == 8 * n for s, n in zip(sets, batch.column("n").to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("group", "doc_id", "copies", "n", "sig")] + [pa.array(sets, pa.binary())], names=["group", "doc_id", "copies", "n", "sig", "shingles"]).filter(keep)
+            cid, ha, hb, size = (batch.column(c).to_pylist() for c in ("cid", "ha", "hb", "n"))
+            some, sets = [], []
+            for i in range(len(batch)):
+                own = np.unique(x[offsets[i] : offsets[i + 1]])
+                if cid[i] in seen or len(own) != size[i] or [int(h.view(np.int64)) for h in class_hash(own)] != [ha[i], hb[i]]:
+                    continue
+                seen.add(cid[i])
+                some.append(i)
+                sets.append(own.tobytes())
+            picked = batch.select(kept).take(pa.array(some, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(sets, pa.binary())], names=[*kept, "shingles"])
 
-    rows = rows.select("group", "doc_id", "copies", "n", "sig", "__text").mapInArrow(to_sets, f"group {kind}, doc_id {kind}, copies long, n int, sig binary, shingles binary")
-    rows = block_pairs(rows, "group", "doc_id", BLOCK, groups)
-    keys = ["group", "lo", "hi"]
-    rows = deal(rows.select(*keys, "own", "doc_id", "copies", "sig", "shingles"), *keys)
+    members = rows.select(*kept, "ha", "hb", "n", "__text").mapInArrow(to_sets, f"cid long, first {kind}, copies long, block long, sig binary, shingles binary")
+    rows = deal(members.join(pairs, "block").select("lo", "hi", "block", "cid", "first", "copies", "sig", "shingles"), "lo", "hi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in units(batches, 3):
+        for unit in units(batches, 2):
+            unit = unit.take(pa.array(np.unique(unit.column("cid").to_numpy(), return_index=True)[1]))
             if len(unit) < 2:
                 continue
-            ids = unit.column("doc_id").combine_chunks()
+            ids = pa.StructArray.from_arrays([unit.column(c).combine_chunks() for c in ("first", "cid")], names=["first", "cid"])
             copies = unit.column("copies").to_numpy()
             sig = np.frombuffer(b"".join(unit.column("sig").to_pylist()), np.uint32).reshape(len(unit), FUNCTIONS)
             sets = [np.frombuffer(s, np.uint64) for s in unit.column("shingles").to_pylist()]
-            one = unit.column("lo")[0].as_py() == unit.column("hi")[0].as_py()
-            side = None if one else unit.column("own").to_numpy() == unit.column("hi")[0].as_py()
-            i, j = links(sig, sets, side, threshold)
+            lo, hi = unit.column("lo")[0].as_py(), unit.column("hi")[0].as_py()
+            i, j = links(sig, sets, None if lo == hi else unit.column("block").to_numpy() == hi, threshold)
             count = np.zeros(len(unit), np.int64)
             np.add.at(count, i, copies[j])
             np.add.at(count, j, copies[i])
             root = forest(len(unit), i, j)
             linked, child = np.flatnonzero(count), np.flatnonzero(root != np.arange(len(unit)))
-            none = pa.nulls(len(linked), ids.type)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([ids.take(pa.array(linked)), ids.take(pa.array(child))]), pa.concat_arrays([none, ids.take(pa.array(root[child]))]), pa.array(np.concatenate([count[linked], np.zeros(len(child), np.int64)]))], names=["a", "b", "links"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([ids.take(pa.array(linked)), ids.take(pa.array(child))]), pa.concat_arrays([pa.nulls(len(linked), ids.type), ids.take(pa.array(root[child]))]), pa.array(np.concatenate([count[linked], np.zeros(len(child), np.int64)]))], names=["a", "b", "links"])
 
-    return rows.mapInArrow(compare, f"a {kind}, b {kind}, links long")
+    node = f"struct<first:{kind},cid:bigint>"
+    return rows.mapInArrow(compare, f"a {node}, b {node}, links long")
 
 
 def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,19 +233,17 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     same = ["ha", "hb", "n"]
     lowest = F.min(F.struct("doc_id", "sig"))
     classes = sketch.where("n > 0").groupBy(*same).agg(lowest.alias("low"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes.select(*same, F.col("low.doc_id").alias("first"), F.col("low.sig").alias("sig"), "copies"), "classes")
-    reps = classes.select(F.col("first").alias("doc_id"), "n", "copies", "sig")
-    groups = components(bucket_edges(reps))
-    groups = reps.join(groups.withColumnRenamed("id", "doc_id").withColumnRenamed("component", "group"), "doc_id")
-    found = materialize(link_counts(groups, docs, threshold, id_col, text_col), "links")
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), *same, F.col("low.doc_id").alias("first"), F.col("low.sig").alias("sig"), "copies"), "classes")
+    found = materialize(link_counts(classes, docs, threshold, id_col, text_col), "links")
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     parts = components(found.where("b IS NOT NULL").select("a", "b"))
-    extra = counts.join(parts, F.col("a") == F.col("id"), "left").select(F.col("a").alias("__first"), "links", "component")
-    by_class = classes.drop("sig").join(extra, F.col("first") == F.col("__first"), "left").drop("__first")
-    out = sketch.select("doc_id", *same).join(by_class, same, "left")
-    first = F.coalesce("first", "doc_id")
-    label = F.coalesce("component", first)
-    return out.select("doc_id", first.alias("copy_of"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), label.alias("class_id"), (label == F.col("doc_id")).alias("kept"))
+    extra = counts.join(parts, F.col("a") == F.col("id"), "left").select(F.col("a.cid").alias("cid"), "links", F.col("component.first").alias("component"))
+    by_class = classes.drop("sig").join(extra, "cid", "left").drop("cid")
+    some = sketch.where("n > 0").select("doc_id", *same)
+    out = join_hot(some, by_class, same, "copies", some.count()).select("doc_id", "first", "copies", "links", "component")
+    none = sketch.where("n = 0").select("doc_id", F.col("doc_id").alias("first"), F.lit(1).cast("long").alias("copies"), F.lit(None).cast("long").alias("links"), F.col("doc_id").alias("component"))
+    label = F.coalesce("component", "first")
+    return out.unionByName(none).select("doc_id", F.col("first").alias("copy_of"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), label.alias("class_id"), (label == F.col("doc_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -73,6 +73,37 @@ def test_jaccard_links_of_large_groups_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, near_text.jaccard_links(documents(spark, rows)).collect()))
     monkeypatch.setattr(near_text, "BLOCK", 4)
     assert sorted(map(tuple, near_text.jaccard_links(documents(spark, rows)).collect())) == want
+    monkeypatch.setattr(near_text, "BLOCK_BYTES", 10_000)
+    monkeypatch.setattr(graph, "HOT_SHARE", 0.1)
+    assert sorted(map(tuple, near_text.jaccard_links(documents(spark, rows)).collect())) == want
+
+
+def test_jaccard_links_of_repeated_rows(spark):
+    base = sentences(60, 5).split()
+    near, other = " ".join([*base, "more"]), sentences(60, 6)
+    rows = [(1, " ".join(base)), (1, " ".join(base)), (2, near), (2, near), (2, near), (1, other), (3, other + " x"), (4, near + " q"), (4, other)]
+    sets = [shingles(t) for _, t in rows]
+    linked = [[k for k in range(len(rows)) if k != i and 10 * len(sets[i] & sets[k]) >= 8 * len(sets[i] | sets[k])] for i in range(len(rows))]
+    label = components(range(len(rows)), [(i, k) for i, own in enumerate(linked) for k in own])
+    smallest = {x: min(rows[i][0] for i in label if label[i] == x) for x in label.values()}
+    want = sorted((rows[i][0], len(linked[i]), smallest[label[i]]) for i in label)
+    for n in (1, 3):
+        assert sorted((r.doc_id, r.n_links, r.class_id) for r in near_text.jaccard_links(documents(spark, rows).repartition(n)).collect()) == want
+
+
+def test_blocks_of_a_chain_grow_linearly(spark):
+    """Templates that each share buckets with the next are not compared all with all."""
+    rng = random.Random(6)
+    work = {}
+    for n in (200, 800):
+        words_, rows = [f"c{rng.randrange(10**6)}" for _ in range(100)], []
+        for k in range(n):  # a fifth of the words changes from one to the next
+            words_ = words_[8:] + [f"c{rng.randrange(10**6)}" for _ in range(8)]
+            rows.append((k, " ".join(words_)))
+        classes = near_text.sketches(documents(spark, rows)).withColumnRenamed("doc_id", "cid")
+        home, pairs = near_text.blocks(classes)
+        work[n] = pairs.join(home, "block").count()
+    assert work[800] <= 6 * work[200]
 
 
 def test_jaccard_edges(spark):
@@ -99,6 +130,8 @@ def test_components(spark):
     want = components({x for p in links for x in p}, links)
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == want
+    nodes = spark.createDataFrame([((a, 1), (b, 1)) for a, b in links], "a struct<x:bigint,y:bigint>, b struct<x:bigint,y:bigint>")
+    assert {r.id.x: r.component.x for r in graph.components(nodes).collect()} == want
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
