@@ -31,15 +31,15 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, to
     return both.unionByName(rest).drop(*names.values())
 
 
-def block_pairs(members: DataFrame, key: str, id_col: str, block: int, counted: DataFrame | None = None) -> DataFrame:
+def block_pairs(members: DataFrame, key: str, id_col: str, block: int, total: int) -> DataFrame:
     """members with `lo`, `hi` and `own`: the pairs of blocks of its group that a member takes part in.
 
     A group of n members is cut by hash into ceil(n / block) blocks, and each unordered pair of blocks becomes a unit
     of work (key, lo, hi), so no task holds a large group. A member of a group with b blocks is copied b times.
-    counted: a frame with the same groups that is cheaper to count.
+    Members that are alone in their group are left out. total: the number of members.
     """
-    sizes = (counted if counted is not None else members).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    rows = members.join(sizes, key)
+    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    rows = join_hot(members, sizes, [key], "__n", total)
     blocks: Column = F.ceil(F.col("__n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64(id_col), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), blocks - 1)))
