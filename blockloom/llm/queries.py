@@ -33,7 +33,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tables.scratch_path(spark, "warc")
     warc.write_archives(_read(spark, sf_dir, "pages"), path)
     rows = warc.read_archives(spark, path, payloads=False)
-    number = lambda c: F.substring_index(c, ":", -1).cast("long")
+    number = lambda c: F.when(F.col(c) != warc.NO_ID, F.substring_index(c, ":", -1).cast("long"))
     return rows.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
@@ -107,8 +107,8 @@ ORACLE_SQL: dict[str, str] = {
         d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
         w AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d)
         SELECT page_id, n AS payload_bytes, h AS payload_digest,
-               CASE WHEN n >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN n >= 1000 AND top <> page_id THEN top END AS refers_to
+               CASE WHEN n >= 1000 AND top IS NOT NULL AND top IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND top IS DISTINCT FROM page_id THEN top END AS refers_to
         FROM w""",
     "op5_near_vectors": """
         WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings

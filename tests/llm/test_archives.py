@@ -7,6 +7,7 @@ import random
 import pytest
 
 from blockloom.llm import warc
+from blockloom.llm.queries import op4_warc
 
 
 def records(n=20):
@@ -95,6 +96,80 @@ def test_archives_in_spark(spark, pages, tmp_path):
     assert warc.read_gaps(spark, path).count() == 0
 
 
+def test_rows_without_an_id(spark, tmp_path):
+    same = "z" * 2000
+    for name, rows in (("some", [(None, "u", same), (None, "u", None), (7, "u", same)]), ("all", [(None, "u", same), (None, "v", same)])):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / name / "pages.parquet"))
+        got = sorted((r.page_id or 0, r.record_type, r.payload_bytes, r.refers_to) for r in op4_warc(spark, str(tmp_path / name)).collect())
+        assert got == ([(0, "response", 0, None), (0, "revisit", 2000, 7), (7, "response", 2000, None)] if name == "some" else [(0, "response", 2000, None)] * 2)
+
+
+def test_many_repeated_digests(spark, pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    monkeypatch.setattr(warc, "HOT_SHARE", 0.4)
+    key = lambda r: (r.id, r.digest, r.refers_to or 0)
+    split = sorted(warc.plan_records(pages).drop("payload").collect(), key=key)
+    monkeypatch.undo()
+    assert split == sorted(warc.plan_records(pages).drop("payload").collect(), key=key)
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(k, "u", "".join(chr(rng.randrange(33, 0x2000)) for _ in range(4000))) for k in range(60)] + [(100, "u", "".join(chr(rng.randrange(33, 0x2000)) for _ in range(90_000)))]
+    path = tmp_path / "out"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(path), archive_bytes=60_000)
+    sizes = [p.stat().st_size for p in path.iterdir() if p.name.startswith("part")]
+    assert len(sizes) > 5 and sum(s > 60_000 for s in sizes) == 1
+    assert warc.read_archives(spark, str(path)).count() == 61 and warc.read_gaps(spark, str(path)).count() == 0
+
+
+def http_record(digest, k=1):
+    body = f"<p>page {k}</p>".encode()
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    fields = [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(body))]
+    return body, warc.header("response", f"urn:x-record:{k}", fields, len(block)) + block + warc.END
+
+
+@pytest.mark.parametrize("form", ["base32", "hex", "sha256", "md5", "unknown"])
+def test_http_responses_with_digests_of_their_bodies(form):
+    import base64
+
+    digest = {"base32": lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode(), "hex": lambda b: "sha1:" + hashlib.sha1(b).hexdigest(), "sha256": lambda b: "sha256:" + hashlib.sha256(b).hexdigest(), "md5": lambda b: "md5:" + hashlib.md5(b).hexdigest().upper(), "unknown": lambda b: "crc9:1"}[form]
+    body, whole = http_record(digest)
+    found, gaps = warc.salvage(whole)
+    assert len(found) == 1 and gaps == [] and warc.payload_of(found[0][1], found[0][2]) == body
+    if form != "unknown":
+        assert warc.salvage(http_record(lambda b: digest(b + b"!"))[1])[1][0][2] == "warc-payload-digest differs"
+
+
+def test_records_inside_one_member():
+    own = records(6)
+    parts = [r for _, _, r in own]
+    found, gaps = warc.salvage_places(gzip.compress(b"".join(parts), mtime=0))
+    assert [(m, f["warc-record-id"]) for m, _, f, _ in found] == [(0, f"<{i}>") for i, _, _ in own] and gaps == []
+    assert [x for _, x, _, _ in found] == [sum(map(len, parts[:k])) for k in range(6)]
+    parts[2] = parts[2][:60] + b"?" + parts[2][61:-8] + b"??"
+    whole = gzip.compress(b"".join(parts), mtime=0)
+    found, gaps = warc.salvage_places(b"junk" + whole)
+    assert [f["warc-record-id"] for _, _, f, _ in found] == [f"<{i}>" for k, (i, _, _) in enumerate(own) if k != 2]
+    assert [(a, b, m) for a, b, m, _ in gaps] == [(0, 4, None), (len(parts[0] + parts[1]), len(b"".join(parts[:3])), 4)]
+    cut, gaps = warc.salvage_places(whole[: len(whole) * 2 // 3])
+    assert cut and gaps == [(0, len(whole) * 2 // 3, None, "gzip member is cut off")]
+
+
+def test_search_is_linear():
+    import time
+
+    took = []
+    for n in (40_000, 400_000):
+        data = (b"\x1f\x8b\x08\xffxx" + b"y" * 20) * n  # a false member every 26 bytes, and no version line
+        start = time.process_time()
+        assert warc.salvage(data)[0] == []
+        took.append(time.process_time() - start)
+    assert took[1] < 25 * took[0] + 1
+
+
 def test_gaps_in_spark(spark, pages, tmp_path):
     path = tmp_path / "out"
     warc.write_archives(pages.coalesce(1), str(path), records_per_file=100)
