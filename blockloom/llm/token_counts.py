@@ -1,15 +1,18 @@
-"""Operator 10: token counts by a compiled finite-state transducer.
+"""Operator 10: token counts by compiled finite-state transducers.
 
-The byte-level BPE tokenizer is compiled into two deterministic machines. The *boundary
-transducer* reads character classes and marks where pretokens begin; its transitions
-carry the marks. A *pretoken arc* then takes the pretoken as one step and is annotated with
-the number of tokens that the step emits; arcs are compiled on first use by the library itself, so
-counts are the library's own.
+The byte-level BPE tokenizer is compiled, from its file alone, into two deterministic machines.
 
-A text is cut into blocks of `BLOCK` characters. For each block the transducer is run from every
-state at once, which gives the block's state map; the maps are composed by a parallel prefix
-scan (doubling), and each block is run again from the state that the scan found. Nothing walks
-a long text character by character.
+The *boundary transducer* reads character classes and marks where pretokens begin. A text is cut into blocks of `BLOCK`
+characters. For each block the transducer is run from every state at once, which gives the block's state map; the maps are composed
+by a parallel prefix scan (doubling), and each block is run again from the state that the scan found.
+
+The *merge transducer* reads a pretoken's bytes. After each byte it knows the last token of what it has read and has emitted
+as many tokens as that has: a transition's annotation is the change of that number, which can be negative, and a
+pretoken's count is their sum. The last token is the one token t that ends there and may follow the last token of what is before t:
+two tokens may be neighbours if no merge across their border would have come before the merges that made them, and a text's
+tokens are the one sequence of such neighbours. Which tokens end at a place is the state of an automaton over all tokens; which may be neighbours
+is compiled on first use. Many pretokens are read side by side, each distinct one once; a machine keeps up to ARCS of them, compared by
+all their bytes, with their counts.
 
 Defined results: a null text counts as empty (0 tokens); an empty table gives an empty result; rows
 with equal doc_id are counted separately; columns beyond the two named are ignored.
@@ -17,6 +20,7 @@ with equal doc_id are counted separately; columns beyond the two named are ignor
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from .tables import pieces
-from .text import code_points, flat_bytes, hash_spans
+from .text import Spans, code_points, flat_bytes
 
 BLOCK = 64
 ARCS = 4_000_000
+#: Pretokens of more bytes are read one by one.
+LONG = 256
 # States: 0 a pretoken has ended (or none began), then runs of letters, numbers, other signs, white space that ends
 # in a space, white space that ends otherwise, an apostrophe that begins a pretoken, 're/'ve and 'll half read.
 END, LETTERS, NUMBERS, SIGNS, SPACE, WHITE, APOSTROPHE, HALF_E, HALF_L = range(9)
@@ -112,42 +118,229 @@ def run_transducer(kinds: np.ndarray) -> np.ndarray:
     return starts
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, the others from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+class Merges:
+    """The merge transducer. Tokens are numbered: bytes, then merges by rank from 256 on."""
+
+    NEVER = 1 << 40
+
+    def __init__(self, merges: list[tuple[bytes, bytes]]):
+        number = {bytes([b]): b for b in range(256)}
+        self.left, self.right = np.full(256 + len(merges), -1), np.full(256 + len(merges), -1)
+        for k, (a, b) in enumerate(merges, 256):
+            if a not in number or b not in number or a + b in number:
+                raise ValueError("a merge of tokens that no earlier merge makes, or a second one to the same token")
+            self.left[k], self.right[k] = number[a], number[b]
+            number[a + b] = k
+        self.length = np.array([len(t) for t in number], np.int64)
+        key = self._pair(self.left[256:], self.right[256:])
+        order = np.argsort(key)
+        self.merge_keys, self.merge_ranks = key[order], order + 256
+        # A token that its own bytes don't come to is in no text.
+        reached = np.ones(len(number), bool)
+        reached[256:] = ~self.crosses(self.left[256:], self.right[256:], np.arange(256, len(number)))
+        for k in range(256, len(number)):
+            reached[k] &= reached[self.left[k]] and reached[self.right[k]]
+        self._automaton([t for t, ok in zip(number, reached.tolist(), strict=True) if ok], np.flatnonzero(reached))
+        self.met, self.meets = np.empty(0, np.int64), np.empty(0, bool)
+        self.known: dict[int, bool] = {}
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a.astype(np.int64) << 32 | b.astype(np.int64)
+
+    def crosses(self, a: np.ndarray, b: np.ndarray, until: np.ndarray | int = NEVER) -> np.ndarray:
+        """Whether a merge across the border of tokens a and b comes before those that make them, and before `until`.
+
+        The last part of a and the first part of b change as their own merges are done; each pair of such parts that are there
+        at one time may merge. Of equal merges the left one comes first.
+        """
+        out = np.zeros(len(a), bool)
+        until = np.broadcast_to(np.asarray(until, np.int64), (len(a),))
+        some, x, x_until = np.arange(len(a)), a.astype(np.int64), until
+        while len(some):
+            own, y, y_until = some, b[some].astype(np.int64), until[some]
+            part, part_until = x, x_until
+            while len(own):
+                key = self._pair(part, y)
+                at = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1) if len(self.merge_keys) else np.zeros(len(key), np.int64)
+                rank = np.where(self.merge_keys[at] == key, self.merge_ranks[at], self.NEVER) if len(self.merge_keys) else np.full(len(key), self.NEVER)
+                out[own[(rank < part_until) & (rank <= y_until) & (rank < until[own])]] = True
+                deeper = (y >= 256) & ~out[own]
+                own, part, part_until, y_until, y = own[deeper], part[deeper], part_until[deeper], y[deeper], self.left[y[deeper]]
+            deeper = (x >= 256) & ~out[some]
+            some, x_until, x = some[deeper], x[deeper], self.right[x[deeper]]
+        return out
+
+    def _automaton(self, tokens: list[bytes], ids: np.ndarray) -> None:
+        """goto[row[node], byte], the longest token that ends at a node, and for a token the next shorter one that ends with it.
+
+        A node that no token goes on from goes where its link goes, and shares its row.
+        """
+        nodes: dict[bytes, int] = {b"": 0}
+        for t in tokens:
+            for n in range(1, len(t) + 1):
+                nodes.setdefault(t[:n], len(nodes))
+        names = list(nodes)
+        depth = np.array([len(x) for x in names])
+        parent = np.array([nodes[x[:-1]] if x else 0 for x in names])
+        byte = np.array([x[-1] if x else 0 for x in names])
+        inner = np.zeros(len(names), bool)
+        inner[parent] = True
+        self.row = np.cumsum(inner, dtype=np.int32) - 1
+        self.goto, fail = np.zeros((int(inner.sum()), 256), np.int32), np.zeros(len(names), np.int32)
+        own = np.full(len(names), -1)
+        own[[nodes[t] for t in tokens]] = ids
+        self.longest, self.shorter = np.full(len(names), -1), np.full(len(self.left), -1)
+        for d in range(depth.max() + 1):
+            level = np.flatnonzero(depth == d)
+            if d:
+                # The link of a child is where its parent's link goes by the byte; the root's children link to the root.
+                fail[level] = self.goto[self.row[fail[parent[level]]], byte[level]] if d > 1 else 0
+                self.row[level[~inner[level]]] = self.row[fail[level[~inner[level]]]]
+                own_row = level[inner[level]]
+                self.goto[self.row[own_row]] = self.goto[self.row[fail[own_row]]]
+                below = self.longest[fail[level]]
+                self.longest[level] = np.where(own[level] >= 0, own[level], below)
+                ends = own[level] >= 0
+                self.shorter[own[level][ends]] = below[ends]
+            children = np.flatnonzero(depth == d + 1)
+            self.goto[self.row[parent[children]], byte[children]] = children
+
+    def neighbours(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether token b may follow token a; new pairs are compiled."""
+        key = self._pair(a, b)
+        at = np.searchsorted(self.met, key)
+        new = np.ones(len(key), bool)
+        inside = at < len(self.met)
+        new[inside] = self.met[at[inside]] != key[inside]
+        if new.any():
+            fresh = np.unique(key[new])
+            place = np.searchsorted(self.met, fresh)
+            self.met, self.meets = np.insert(self.met, place, fresh), np.insert(self.meets, place, ~self.crosses(fresh >> 32, fresh & 0xFFFFFFFF))
+            at = np.searchsorted(self.met, key)
+        return self.meets[at]
+
+    def emitted(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The tokens that the transducer has emitted at the end of each data[start:end]."""
+        size = ends - starts
+        out = np.zeros(len(starts), np.int64)
+        if len(self.met) > ARCS:
+            self.met, self.meets, self.known = self.met[:0], self.meets[:0], {}
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = self._one(data[starts[i] : ends[i]].tobytes())
+        some = np.flatnonzero((size > 0) & (size <= LONG))
+        some = some[np.argsort(-size[some], kind="stable")]
+        size, first = size[some], starts[some]
+        width = int(size[0]) + 1 if len(some) else 0
+        last, count = np.full((len(some), width), -1, np.int32), np.zeros((len(some), width), np.int32)
+        node = np.zeros(len(some), np.int32)
+        for k in range(1, width):  # one byte of all pretokens that have it
+            n = int(np.searchsorted(-size, -k, side="right"))
+            node = self.goto[self.row[node[:n]], data[first[:n] + k - 1]]
+            token, open_ = self.longest[node], np.arange(n)
+            while len(open_):
+                before = k - self.length[token]
+                fits = before == 0
+                inner = np.flatnonzero(~fits)
+                fits[inner] = self.neighbours(last[open_[inner], before[inner]], token[inner])
+                done = open_[fits]
+                last[done, k], count[done, k] = token[fits], count[done, before[fits]] + 1
+                open_, token = open_[~fits], self.shorter[token[~fits]]
+        out[some] = count[np.arange(len(some)), size] if len(some) else 0
+        return out
+
+    def _one(self, text: bytes) -> int:
+        """emitted() of one long pretoken, in memory of four numbers a byte."""
+        last, count, node = [-1], [0], 0
+        for k, byte in enumerate(text, 1):
+            node = self.goto[self.row[node], byte]
+            token = int(self.longest[node])
+            while (before := k - int(self.length[token])) > 0:
+                key = last[before] << 32 | token
+                fits = self.known.get(key)
+                if fits is None:
+                    fits = self.known[key] = bool(self.neighbours(np.array([last[before]]), np.array([token]))[0])
+                if fits:
+                    break
+                token = int(self.shorter[token])
+            last.append(token)
+            count.append(count[before] + 1)
+        return count[-1]
+
+
 class Transducer:
-    """Pretoken arcs with their emitted-token counts, kept in sorted arrays; at most ARCS, then begun anew."""
+    """Both machines of one tokenizer file, and the pretokens met so far with their counts; at most ARCS, then begun anew."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        model, first = said["model"], said["pre_tokenizer"] or {}
+        plain = all(not model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if model["type"] != "BPE" or not plain or said["normalizer"] or first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True):
+            raise ValueError("only byte-level BPE files without further settings can be compiled")
+        letters = byte_letters()
+        spelled = lambda t: bytes(letters[x] for x in t)
+        self.merges = Merges([(spelled(a), spelled(b)) for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])])
+        self.special = sorted((t["content"] for t in said["added_tokens"]), key=len, reverse=True)
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.keys, self.emits = np.empty(0, np.uint64), np.empty(0, np.int32)
-
-    def arcs(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The emitted tokens of each pretoken data[start:end] with the given key."""
+        self.long: dict[bytes, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # Of pretokens of 16 bytes or less: the hash, the first and the last 8 bytes, the length and the count.
+        self.keys, self.head, self.tail = (np.empty(0, np.uint64) for _ in range(3))
+        self.size, self.emits = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def arcs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The emitted tokens of each pretoken data[start:end]."""
+        size = ends - starts
+        out = np.zeros(len(starts), np.int64)
+        some = np.flatnonzero(size <= 16)
+        spans = Spans(data)
+        keys = spans.hashes(starts[some], ends[some])
+        own = np.minimum(size[some], 8)
+        head, tail = spans.load(starts[some], own), spans.load(ends[some] - own, own)
         order = np.argsort(keys)
         ordered = keys[order]
         first = np.empty(len(ordered), bool)
         first[:1] = True
         np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
-        unique, index = ordered[first], order[first]
-        inverse = np.empty(len(keys), np.int64)
-        inverse[order] = np.cumsum(first) - 1
+        index = order[first]
+        group = np.empty(len(some), np.int64)
+        group[order] = np.cumsum(first) - 1
         if len(self.keys) > ARCS:
-            self.keys, self.emits = np.empty(0, np.uint64), np.empty(0, np.int32)
-        at = np.searchsorted(self.keys, unique)
-        known = np.zeros(len(unique), bool)
+            self._forget()
+        at = np.searchsorted(self.keys, keys[index])
+        new = np.ones(len(index), bool)
         inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == unique[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            blob = data.tobytes()
-            texts = [blob[a:b].decode("utf-8", "replace") for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True)]
-            emits = np.fromiter((len(x) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)), np.int32, len(texts))
-            self.keys, self.emits = np.insert(self.keys, at[new], unique[new]), np.insert(self.emits, at[new], emits)
-        return self.emits[np.searchsorted(self.keys, unique)][inverse]
+        new[inside] = self.keys[at[inside]] != keys[index[inside]]
+        if new.any():
+            fresh, place = index[new], at[new]
+            made = self.merges.emitted(data, starts[some[fresh]], ends[some[fresh]])
+            for name, values in (("keys", keys), ("head", head), ("tail", tail), ("size", size[some])):
+                setattr(self, name, np.insert(getattr(self, name), place, values[fresh]))
+            self.emits = np.insert(self.emits, place, made)
+        at = np.searchsorted(self.keys, keys[index])[group]
+        out[some] = self.emits[at]
+        same = (self.head[at] == head) & (self.tail[at] == tail) & (self.size[at] == size[some])
+        rest = np.concatenate([some[~same], np.flatnonzero(size > 16)])
+        if len(rest):  # long pretokens, and others whose hash another one has
+            if len(self.long) > ARCS // 10:
+                self.long.clear()
+            whole = data.tobytes()
+            texts = [whole[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            fresh = {t: k for k, t in enumerate(texts) if t not in self.long}
+            which = rest[list(fresh.values())]
+            self.long.update(zip(fresh, self.merges.emitted(data, starts[which], ends[which]).tolist(), strict=True))
+            out[rest] = [self.long[t] for t in texts]
+        return out
 
     def count(self, column: pa.Array) -> np.ndarray:
         """Tokens of each row, as the library counts them without added special tokens."""
@@ -181,8 +374,7 @@ class Transducer:
         ends = np.append(starts[1:], len(data))
         row = np.searchsorted(offsets, starts, side="right") - 1
         ends = np.minimum(ends, offsets[row + 1])
-        emits = self.arcs(hash_spans(data, starts, ends), data, starts, ends)
-        return extra + np.bincount(rows[row], emits, n).astype(np.int64)
+        return extra + np.bincount(rows[row], self.arcs(data, starts, ends), n).astype(np.int64)
 
 
 _compiled: dict[str, Transducer] = {}

@@ -328,6 +328,36 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.token_counts(docs.limit(0)).count() == 0
 
 
+def test_merge_transducer_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = token_counts.tokenizer_path("byte_bpe_50k.json")
+    library, machine = Tokenizer.from_file(path), token_counts.Transducer(path)
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(9)
+    texts = [word, other, word * 3, "x" * 255, "x" * 256, "x" * 257, "aaab" * 100, "-" * 1000, " " * 700, "=" * 65 + " " + "=" * 64, "é" * 400, "日本語" * 200, "\0" * 90]
+    texts += ["".join(rng.choice("aeinrst") for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    texts += ["".join(rng.choice("=-*#_ \n") for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
+    texts += [bytes(rng.randrange(256) for _ in range(rng.randrange(1, 30))).decode("utf-8", "replace") for _ in range(1500)]
+    want = [len(x) for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert machine.count(pa.array(texts)).tolist() == want
+    assert [int(machine.count(pa.array([t]))[0]) for t in texts[:40]] == want[:40]
+    machine._forget()
+    assert machine.count(pa.array(texts[::-1])).tolist() == want[::-1]
+
+
+def test_token_counts_survive_equal_hashes(monkeypatch):
+    path = token_counts.tokenizer_path("byte_bpe_50k.json")
+    texts = ["one two three 1234 5678", "three, two; one! abcdefghijklmnop qwertyuiop", "zzzzqqqq x", "one"]
+    want = token_counts.Transducer(path).count(pa.array(texts)).tolist()
+    monkeypatch.setattr(token_counts.Spans, "hashes", lambda self, a, b: (b - a).astype(np.uint64) % np.uint64(2))
+    machine = token_counts.Transducer(path)
+    assert machine.count(pa.array(texts)).tolist() == want and [int(machine.count(pa.array([t]))[0]) for t in texts] == want
+
+
 def test_scan_equals_a_single_walk():
     rng = np.random.default_rng(1)
     for n in (1, 63, 64, 65, 1000, 20_000):
