@@ -5,10 +5,12 @@ elements from the root. Text length, sentence punctuation and link text are summ
 the number of its blocks; the fused ratio is smoothed along the page, so a heading or a short paragraph takes
 part in its surroundings. Paths whose smoothed ratio reaches a share of the page's highest are content. What the
 content's common container holds besides is taken in, too; elements that are boilerplate by
-tag, role or class name never are.
+tag, role or class name never are. A name that articles use, too (DOUBTFUL), is only a doubt: within an article element, or on a section, such an element goes only if
+it is no prose by its own ratios. An article or main element counts if it holds the page's prose: where more blocks of prose, and
+three times its text, lie beside it, it is a teaser.
 
 Defined results: null, empty and tagless pages give the empty text or their own text; unclosed and stray tags are
-taken as browsers do for paragraphs, list items and cells; a `<` that begins no tag is text; pages of any length are
+taken as browsers do for paragraphs, list items and cells; of an unclosed control or embedded object only the tag goes; a `<` that begins no tag is text; pages of any length are
 read whole; equal page ids are separate rows; other columns are ignored. Per page nothing but its own html is used,
 so there is no exchange and memory is bounded by the longest page.
 """
@@ -19,6 +21,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,13 +45,19 @@ BOILERPLATE = frozenset(
     "share sharing social related recommended recommendations trending popular sidebar rail widget menu nav navigation navbar breadcrumb breadcrumbs pagination pager footer copyright legal comment comments commentlist "
     "disqus reply replies respond discussion search toolbar topbar contentinfo complementary dialog alertdialog skip taboola outbrain".split()
 )
+#: Those that articles use for parts of their own, as well.
+DOUBTFUL = frozenset("discussion legal copyright related social search popular trending share sharing rail skip notice alert promotion banner complementary".split())
+#: An element that its closing tag isn't found for holds nothing, but for these, which hold the rest of the page.
+SWALLOWS = frozenset("script style".split())
+#: Tags that no control or embedded object holds: one of them before the closing tag shows that it belongs to another.
+OUTSIDE = "article|main|body|section|h1"
 END_SIGNS = re.compile(r"[.,;:!?。，、！？…]")
 #: Headings of what readers, editors or sellers add to an article: they go with what follows in their element up to a heading of the same or a higher level.
 ADDED = re.compile(r"(?:\d+ )?(?:reader )?(?:comments?|kommentare?|commentaires?|comentarios?|responses?|replies|leave a (?:comment|reply)|related(?: (?:articles|posts|stories))?|share(?: this)?|advertisement)(?: ?\(\d+\))?:?", re.I)
 #: Those that stand between paragraphs, too: below an earlier block of the same element they go alone, as the article goes on.
 BETWEEN = re.compile(r"(?:share(?: this)?|advertisement)(?: ?\(\d+\))?:?", re.I)
-#: Notices outside an article element.
-LEGAL = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+#: Notices outside an article element: an owner or a year, not a sentence on copyright.
+LEGAL = re.compile(r"(?:copyright\s*)?(?:©|\(c\))\s.*|copyright\s*,?\s*(?:\d{4}|by\b).*|(?:.*[\s.,|])?all rights(?: are)? reserved\W*", re.I | re.S)
 #: A path is content from this share of the page's highest smoothed ratio.
 SHARE = 0.12
 #: Weights of a block's neighbours at distance 0, 1, 2.
@@ -62,10 +71,10 @@ class Block:
         self.text, self.path, self.ids, self.linked, self.heading, self.main = text, path, ids, linked, heading, main
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool]:
-    """The path step of an element, and whether its names or style mark it as boilerplate."""
+def _marks(tag: str, attributes: str) -> tuple[str, int]:
+    """The path step of an element, and whether its names or style mark it as boilerplate: 0 no, 1 in doubt, 2 yes."""
     if "=" not in attributes and "hidden" not in attributes:
-        return tag, False
+        return tag, 0
     words: list[str] = []
     hidden, names = False, ""
     for name, *values in NAMING.findall(attributes):
@@ -77,7 +86,25 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool]:
         else:
             names += f".{value}"
             words += [w.lower() for w in NAME_WORD.findall(value)]
-    return tag + re.sub(r"\d+", "#", names), hidden or any(w in BOILERPLATE for w in words)
+    found = BOILERPLATE.intersection(words)
+    return tag + re.sub(r"\d+", "#", names), 2 if hidden or found - DOUBTFUL else 1 if found else 0
+
+
+def is_prose(found: list[Block]) -> bool:
+    """Whether sentences make up most of the blocks' text, and links little of it."""
+    length = sum(len(b.text) for b in found)
+    spoken = sum(len(b.text) for b in found if 80 * len(END_SIGNS.findall(b.text)) >= len(b.text) and 4 * b.linked < len(b.text))
+    return length > 0 and 2 * spoken > length
+
+
+@cache
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
+
+
+@cache
+def _foreign(tag: str) -> re.Pattern:
+    return re.compile(rf"<(?:{re.escape(tag)}|{OUTSIDE})\b", re.I) if tag not in ("object", "svg", "template", "noscript") else re.compile(rf"<(?:{OUTSIDE})\b", re.I)
 
 
 def blocks(page: str) -> list[Block]:
@@ -85,6 +112,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str, int]] = []  # tag, path step, number
     bad: dict[int, bool] = {}  # number of a boilerplate element: whether its tag alone decides
+    doubted: set[int] = set()  # of those, the ones that their own ratios decide on
+    unclosed: set[str] = set()  # raw tags that no closing tag is left for
     holds_main: set[int] = set()
     text: list[str] = []
     linked = in_link = number = 0
@@ -114,8 +143,13 @@ def blocks(page: str) -> list[Block]:
 
     while True:
         if raw:
-            m = re.compile(rf"</{re.escape(raw)}\b[^>]*>", re.I).search(page, position)
-            raw, position = "", m.end() if m else len(page)
+            m = None if raw in unclosed else _closing(raw).search(page, position)
+            if not m:
+                unclosed.add(raw)
+                position = len(page) if raw in SWALLOWS else position
+            elif raw in SWALLOWS or not _foreign(raw).search(page, position, m.start()):
+                position = m.end()
+            raw = ""
         m = TOKEN.search(page, position)
         add(page[position : m.start() if m else len(page)])
         if not m:
@@ -161,6 +195,8 @@ def blocks(page: str) -> list[Block]:
                 bad[number] = True
             elif boiler and tag not in ("html", "body", "main"):
                 bad[number] = False
+                if boiler == 1 and (inside or tag == "section"):
+                    doubted.add(number)
             if tag in MAIN and not boiler:
                 holds_main.update(s[2] for s in stack)
             stack.append((tag, step, number))
@@ -169,7 +205,9 @@ def blocks(page: str) -> list[Block]:
     sure = {k for k, by_tag in bad.items() if by_tag}
     rest = [b for b in out if not sure.intersection(b.ids)]
     whole = sum(len(b.text) - b.linked for b in rest)
-    for k in bad.keys() - sure:
+    for k in sorted(bad.keys() - sure):
+        if k in doubted and is_prose([b for b in rest if k in b.ids]):
+            continue
         if k not in holds_main and 10 * sum(len(b.text) - b.linked for b in rest if k in b.ids) < 6 * whole:
             sure.add(k)
     return [b for b in rest if not sure.intersection(b.ids)]
@@ -214,15 +252,24 @@ def without_added(found: list[Block]) -> list[Block]:
     return keep
 
 
+def holds_story(own: list[Block], beside: list[Block]) -> bool:
+    """Whether the article elements hold the page's story: not if more blocks of prose and three times their text lie beside them."""
+    told = [b for b in beside if is_prose([b])]
+    return len(told) <= len(own) or sum(len(b.text) for b in told) < 3 * sum(len(b.text) for b in own)
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: its content blocks, one to a line."""
     if not page:
         return ""
     found = blocks(page)
-    if any(b.main for b in found):
-        found = [b for b in found if b.main]
+    own, beside = [b for b in found if b.main], [b for b in found if not b.main]
+    if own and holds_story(own, beside):
+        found = own
     else:
-        found = [b for b in found if not (LEGAL.match(b.text) and len(b.text) < 200)] or found
+        for b in found:
+            b.main = False
+        found = [b for b in found if not LEGAL.fullmatch(b.text)] or found
     found = without_added(found)
     if not found:
         return ""

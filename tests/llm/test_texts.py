@@ -188,6 +188,49 @@ def test_an_article_goes_on_after_an_added_part(tag, body, want):
     assert html_text.main_text(f"<{tag}><h1>Title</h1>{body}</{tag}>").split("\n") == ["Title", *want]
 
 
+LONG_A, LONG_B = "This is the story as it was told, with all that belongs to it; it takes its time. " * 3, "And so it went on, for many days, until it came to its end, which nobody had seen coming. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div><p>{LONG_A}</p><p>Copyright law protects authors, as it should.</p><p>{LONG_B}</p></div><div>© 2020 The Paper</div><div>Copyright 2021 by us. All rights reserved.</div>", [LONG_A, "Copyright law protects authors, as it should.", LONG_B]),
+        (f"<article><p>{LONG_A}</p><h2>Responses</h2><section><h2>What they did</h2><p>{LONG_B}</p></section></article>", [LONG_A, "What they did", LONG_B]),
+        *((f"<div><p>{LONG_A}</p><{tag}>Go<p>{LONG_B}</p><p>{LONG_A}</p></div>", [LONG_A, LONG_B, LONG_A]) for tag in "select textarea object canvas svg math video template".split()),
+        (f"<div><button>Menu<section><p>{LONG_A}</p><p>{LONG_B}</p></section><button>Send</button></div>", [LONG_A, LONG_B]),
+        (f"<div><p>{LONG_A}</p><p>{LONG_B} <button>Copy</button><select><option>no</select><svg><title>no</title></svg></p></div>", [LONG_A, LONG_B]),
+        (f'<article><h1>T</h1><p>{LONG_A}</p><section class="discussion"><h2>Discussion</h2><p>{LONG_B}</p></section></article>', ["T", LONG_A, "Discussion", LONG_B]),
+        (f'<article><p>{LONG_A}</p><div class="related"><a href=x>One more</a> <a href=y>Two more</a></div><p>{LONG_B}</p></article>', [LONG_A, LONG_B]),
+        (f"<article><h3>Teaser</h3><p>Read this, too.</p></article><div><p>{LONG_A}</p><p>{LONG_B}</p><p>{LONG_A}</p></div>", [LONG_A, LONG_B, LONG_A]),
+    ],
+)
+def test_nothing_of_the_article_is_lost(page, want):
+    got = [x for x in html_text.main_text(page).split("\n") if x not in ("Menu", "Go", "Teaser")]
+    assert got == [x.strip() for x in want]
+
+
+def generated_page(rng):
+    """A page whose names say nothing, and its article's blocks."""
+    name = lambda: "".join(rng.choice("bcdfghklmnprtvz") for _ in range(6))
+    word = lambda: "".join(rng.choice("abcdeilmnorstu") for _ in range(rng.randrange(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randrange(6, 16))).capitalize() + rng.choice([".", ".", "!", "; so be it."])
+    linked = lambda n: f'<ul class="{name()}">' + "".join(f'<li class={name()}><a href="/{word()}">{word()} {word()}</a></li>' for _ in range(n)) + "</ul>"
+    blocks = [f"{word()} {word()} {word()}".capitalize()]
+    parts = [f"<h1>{blocks[0]}</h1>"]
+    for _ in range(rng.randrange(3, 12)):
+        blocks.append(" ".join(sentence() for _ in range(rng.randrange(2, 6))))
+        parts.append(f"<p>{blocks[-1]}</p>")
+    shell = f'<div class="{name()}">{linked(6)}</div><div class="{name()}"><div class="{name()}">{"".join(parts)}</div><div class="{name()}">{linked(9)}</div></div><div class="{name()}">{linked(5)}<span>{word()} {word()}</span></div>'
+    return f"<html><body>{shell}</body></html>", blocks
+
+
+def test_generated_pages_with_names_that_say_nothing():
+    rng = random.Random(12)
+    for _ in range(60):
+        page, blocks = generated_page(rng)
+        assert html_text.main_text(page).split("\n") == blocks
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (3, "v", "<p>" + "word, " * 100_000 + "</p>", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
