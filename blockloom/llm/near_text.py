@@ -2,8 +2,8 @@
 
 Documents with equal shingle sets (by a 128-bit hash) are one class, which takes part once, by its smallest
 doc_id, with the number of its copies. Each class has FUNCTIONS MinHash values. Bands of ROWS values put
-classes into buckets; a pair at the threshold misses all of them with a chance of 3e-6. A class is at home in the largest of its
-buckets, and a home of many members is cut by hash into blocks of at most BLOCK members or BLOCK_BYTES, about. Two blocks are
+classes into buckets; a pair at the threshold misses all of them with a chance of 3e-6. A class is at home in the largest bucket that
+a class of one of its buckets is in, and a home of many members is cut by hash into blocks of at most BLOCK members or BLOCK_BYTES, about. Two blocks are
 compared if a bucket has members of both, and once, however many buckets they share: a class travels
 with its home, and chains of groups that overlap don't grow into one.
 Within a pair of blocks, classes are compared by *Bayesian candidate pruning*: after each STEP values the posterior of the
@@ -24,7 +24,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components, forest, join_hot, units
@@ -104,16 +104,26 @@ def buckets(classes: DataFrame) -> DataFrame:
 def blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cid, block) of the classes that share a bucket, and (block, lo, hi): the pairs of blocks that each is compared in."""
     rows = buckets(classes)
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("n") * F.lit(8)).alias("bytes")).where("members > 1")
-    held = materialize(join_hot(rows.select("cid", "key"), sizes, ["key"], "members", BANDS * classes.count()), "buckets")
-    home = held.groupBy("cid").agg(F.max(F.struct("members", "key", "bytes")).alias("home"))
-    parts = F.ceil(F.greatest(F.col("home.members") / BLOCK, F.col("home.bytes") / BLOCK_BYTES))
-    home = materialize(home.select("cid", F.xxhash64("home.key", F.pmod(F.xxhash64("cid"), parts)).alias("block")), "blocks")
-    met = held.select("key", "cid").join(home, "cid").select("key", "block").distinct()
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    held = join_hot(rows, sizes, ["key"], "members", BANDS * classes.count())
+    of_class, largest = Window.partitionBy("cid"), F.max(F.struct("members", F.col("key").alias("home")))
+    held = materialize(held.withColumn("own", largest.over(of_class)), "buckets")
+    # The largest home of a bucket's members is that of all members, so what shares buckets with a large group joins it.
+    tops = held.groupBy("key").agg(F.max("own").alias("top"), F.count(F.lit(1)).alias("__n"))
+    held = join_hot(held.drop("own", "members"), tops, ["key"], "__n", held.count()).drop("__n")
+    first = F.row_number().over(of_class.orderBy("key")) == 1
+    held = materialize(held.select("key", "cid", "n", F.max("top").over(of_class)["home"].alias("home"), first.alias("first")), "homes")
+    once = lambda x: F.sum(F.when(F.col("first"), x).otherwise(0))
+    sizes = held.groupBy("home").agg(once(F.lit(1)).alias("members"), once(F.col("n") * F.lit(8)).alias("bytes"), F.count(F.lit(1)).alias("__n"))
+    parts = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("bytes") / BLOCK_BYTES))
+    held = join_hot(held, sizes, ["home"], "__n", held.count())
+    held = materialize(held.select("key", "cid", "first", F.xxhash64("home", F.pmod(F.xxhash64("cid"), parts)).alias("block")), "blocks")
+    met = held.groupBy("key", "block").agg(F.count(F.lit(1)).alias("__n")).select("key", "block")
     several = met.groupBy("key").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("key")
     met = materialize(met.join(several, "key"), "bucket-blocks")
     cross = met.withColumnRenamed("block", "lo").join(met.withColumnRenamed("block", "hi"), "key").where("lo < hi").select("lo", "hi").distinct()
     both = cross.select(F.explode(F.array("lo", "hi")).alias("block"), "lo", "hi")
+    home = held.where("first").select("cid", "block")
     own = home.select("block").distinct().select("block", F.col("block").alias("lo"), F.col("block").alias("hi"))
     return home, own.unionByName(both)
 
