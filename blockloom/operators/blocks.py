@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,7 @@ def idct_join(coefs: DataFrame, keys: list[str]) -> DataFrame:
     return joined.groupBy(*keys, "p").agg(F.sum(F.col("c") * F.col("w")).alias("s"))
 
 
+@cache
 def basis_matrix() -> np.ndarray:
     """The same weights as a matrix [k, p]."""
     n = np.arange(8)
@@ -62,6 +64,12 @@ def basis_matrix() -> np.ndarray:
     return np.einsum("yv,xu->vuyx", wave, wave).reshape(64, 64)
 
 
+def samples(coefs: np.ndarray, quants: np.ndarray) -> np.ndarray:
+    """Samples 0..255 of blocks [n, 64] in zig-zag order and their tables: D3 and M1 to M5 as one product (Q13, Q14, Q24)."""
+    natural = (coefs.astype(np.int64) * quants)[:, ZIGZAG]
+    return np.clip(np.floor(natural @ basis_matrix() + 128.5), 0, 255).astype(np.uint8)
+
+
 def idct(blocks: DataFrame, coef: str = "coef", out: str = "px") -> DataFrame:
     """blocks with `out`, 64 samples before the level shift, by one matrix product per Arrow batch (M4).
 

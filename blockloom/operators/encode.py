@@ -51,9 +51,12 @@ def _magnitude(value: int) -> tuple[int, str]:
     return size, format(value if value > 0 else value + (1 << size) - 1, f"0{size}b") if size else ""
 
 
-def entropy(blocks: list[list[int]], restart: int = 0) -> bytes:
-    """The stuffed data of blocks (zig-zag order), with a restart marker after every `restart` blocks."""
-    out, bits, last = bytearray(), [], 0
+def entropy(blocks: list[list[int]], restart: int = 0, plan: tuple[int, ...] = (0,)) -> bytes:
+    """The stuffed data of blocks (zig-zag order, MCU by MCU), with a restart marker after every `restart` MCUs.
+
+    plan: the component of each block of an MCU.
+    """
+    out, bits, last = bytearray(), [], dict.fromkeys(plan, 0)
 
     def flush() -> None:
         text = "".join(bits)
@@ -65,13 +68,14 @@ def entropy(blocks: list[list[int]], restart: int = 0) -> bytes:
         bits.clear()
 
     for k, block in enumerate(blocks):
-        if restart and k and k % restart == 0:
+        unit, place = divmod(k, len(plan))
+        if restart and unit and not place and unit % restart == 0:
             flush()
-            out.extend((0xFF, 0xD0 + (k // restart - 1) % 8))
-            last = 0
-        size, extra = _magnitude(block[0] - last)
+            out.extend((0xFF, 0xD0 + (unit // restart - 1) % 8))
+            last = dict.fromkeys(plan, 0)
+        size, extra = _magnitude(block[0] - last[plan[place]])
         bits.append(_DC[size] + extra)
-        last, run = block[0], 0
+        last[plan[place]], run = block[0], 0
         for value in block[1:]:
             if not value:
                 run += 1
@@ -92,13 +96,32 @@ def segment(code: int, payload: bytes) -> bytes:
     return bytes((0xFF, code)) + (len(payload) + 2).to_bytes(2) + payload
 
 
+def _head(width: int, height: int, quant: list[int], factors: list[tuple[int, int]], restart: int) -> bytes:
+    """All before the scans: one quantization table (zig-zag order), the frame, the luma Huffman tables."""
+    dht = lambda kind, t: segment(0xC4, bytes([kind, *t[0], *t[1]]))
+    frame = bytes([8]) + height.to_bytes(2) + width.to_bytes(2) + bytes([len(factors), *(x for k, (h, v) in enumerate(factors, 1) for x in (k, h << 4 | v, 0))])
+    parts = [b"\xff\xd8", segment(0xDB, bytes([0, *quant])), segment(0xC0, frame), dht(0x00, DC_LUMA), dht(0x10, AC_LUMA)]
+    return b"".join([*parts, segment(0xDD, restart.to_bytes(2))] if restart else parts)
+
+
+def _scan(components: list[int], data: bytes) -> bytes:
+    return segment(0xDA, bytes([len(components), *(x for c in components for x in (c, 0)), 0, 63, 0])) + data
+
+
 def gray_image(blocks: list[list[int]], width: int, height: int, quant: list[int], restart: int = 0) -> bytes:
     """A gray stream of blocks (zig-zag order, row by row) with a quantization table in zig-zag order."""
-    dht = lambda kind, t: segment(0xC4, bytes([kind, *t[0], *t[1]]))
-    parts = [b"\xff\xd8", segment(0xDB, bytes([0, *quant])), segment(0xC0, bytes([8]) + height.to_bytes(2) + width.to_bytes(2) + bytes([1, 1, 0x11, 0])), dht(0x00, DC_LUMA), dht(0x10, AC_LUMA)]
-    if restart:
-        parts.append(segment(0xDD, restart.to_bytes(2)))
-    return b"".join([*parts, segment(0xDA, bytes([1, 1, 0, 0, 63, 0])), entropy(blocks, restart), b"\xff\xd9"])
+    return _head(width, height, quant, [(1, 1)], restart) + _scan([1], entropy(blocks, restart)) + b"\xff\xd9"
+
+
+def color_image(blocks: list[list[int]], width: int, height: int, quant: list[int], factors: list[tuple[int, int]], restart: int = 0) -> bytes:
+    """An interleaved stream of blocks, MCU by MCU; factors: (h, v) of each component."""
+    plan = tuple(k for k, (h, v) in enumerate(factors) for _ in range(h * v))
+    return _head(width, height, quant, factors, restart) + _scan(list(range(1, len(factors) + 1)), entropy(blocks, restart, plan)) + b"\xff\xd9"
+
+
+def separate_scans(blocks: list[list[list[int]]], width: int, height: int, quant: list[int]) -> list[bytes]:
+    """The pieces of a stream without subsampling: the head, and a scan for each component's blocks."""
+    return [_head(width, height, quant, [(1, 1)] * len(blocks), 0), *(_scan([k], entropy(own)) for k, own in enumerate(blocks, 1))]
 
 
 def encode_blocks(rows: DataFrame, id_col: str, coef_col: str, quant: list[int]) -> DataFrame:
@@ -110,3 +133,15 @@ def encode_blocks(rows: DataFrame, id_col: str, coef_col: str, quant: list[int])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(made, pa.binary())], names=["image_id", "content"])
 
     return rows.select(id_col, coef_col).mapInArrow(run, "image_id string, content binary")
+
+
+def encode_rows(rows: DataFrame, id_col: str, blocks_col: str, make, schema: str) -> DataFrame:
+    """image_id and the columns of schema: `make` of each row's blocks (arrays of 64 coefficients) returns their values."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [make(b) for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), *(pa.array([m[k] for m in made], pa.binary()) for k in range(len(names)))], names=["image_id", *names])
+
+    return rows.select(id_col, blocks_col).mapInArrow(run, f"image_id string, {schema}")

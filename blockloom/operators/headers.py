@@ -16,6 +16,11 @@ def _seq(n: Column) -> Column:
     return F.sequence(F.lit(0), n - 1)
 
 
+def _most(payload: Column, size: int) -> Column:
+    """So many tables of `size` bytes at least can a segment hold; one, if it is shorter."""
+    return F.greatest((F.octet_length(payload) / size).cast("int"), F.lit(1))
+
+
 def frame(payload: Column) -> Column:
     """struct<precision,height,width,components> of a frame segment; components beyond the payload are left out."""
     n = F.least(B.byte_at(payload, 5), ((F.octet_length(payload) - 6) / 3).cast("int"))
@@ -48,7 +53,7 @@ def quant(payload: Column) -> Column:
         table = F.struct(tq.alias("tq"), pq.alias("pq"), values.alias("q"))
         return F.when(whole, F.struct((pos + 1 + size * 64).alias("pos"), F.concat(acc["out"], F.array(table)).cast(_QUANT).alias("out"))).otherwise(acc)
 
-    return B.fold(4, start, step)["out"]
+    return B.fold(_most(payload, 65), start, step)["out"]
 
 
 def huffman(payload: Column) -> Column:
@@ -68,7 +73,7 @@ def huffman(payload: Column) -> Column:
 
         return F.when(pos + 17 <= F.octet_length(payload), B.let(read, take)).otherwise(acc)
 
-    return B.fold(8, start, step)["out"]
+    return B.fold(_most(payload, 17), start, step)["out"]
 
 
 def frames(segs: DataFrame) -> DataFrame:

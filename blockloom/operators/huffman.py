@@ -53,8 +53,8 @@ class Table:
         self.symbols, self.lengths = self.symbol.tolist(), self.length.tolist()
 
 
-def decode_interval(data: bytes, plan: list[tuple[int, Table, Table]], units: int) -> list[list[int]]:
-    """The coefficients (zig-zag order, DC undone) of `units` MCUs of destuffed data; ValueError if they are not there.
+def decode_interval(data: bytes, plan: list[tuple[int, Table, Table]], units: int) -> np.ndarray:
+    """The coefficients (zig-zag order, DC undone) of `units` MCUs of destuffed data, a block a row; ValueError if they are not there.
 
     plan: for each block of an MCU the component's index and its DC and AC tables. A length of exactly what each
     code and its magnitude take is consumed (Q8, Q10).
@@ -62,8 +62,11 @@ def decode_interval(data: bytes, plan: list[tuple[int, Table, Table]], units: in
     end = 8 * len(data)
     data = data + b"\xff" * 8  # a code may look beyond the end, but not use it
     pos, last = 0, {c: 0 for c, _, _ in plan}
-    out = []
+    out, done = [], []
     for _ in range(units):
+        if len(out) >= 4096:
+            done.append(np.array(out, np.int32))
+            out = []
         for component, dc, ac in plan:
             block = [0] * 64
             word = int.from_bytes(data[pos >> 3 : (pos >> 3) + 5]) >> (24 - (pos & 7))
@@ -101,7 +104,7 @@ def decode_interval(data: bytes, plan: list[tuple[int, Table, Table]], units: in
             if pos > end:
                 raise ValueError("truncated_scan")
             out.append(block)
-    return out
+    return np.concatenate([*done, np.array(out, np.int32).reshape(-1, 64)])
 
 
 _tables: dict[tuple, Table] = {}
@@ -121,48 +124,74 @@ PARTS = f"array<struct<comp:int,h:int,v:int,up_h:int,up_v:int,q:array<int>,dc:{_
 #: Geometry that the blocks carry on, so that raster assembly needs no join.
 GEOMETRY = "width int, height int, h_max int, v_max int, comps int"
 INTERVAL = f"image_id string, first_mcu int, mcus int, mcus_across int, {GEOMETRY}, parts {PARTS}, data binary"
+COLUMNS = [f.split()[0] for f in INTERVAL.replace(PARTS, "x").split(", ")]
 BLOCK = f"image_id string, comp int, block_y int, block_x int, coef array<int>, q array<int>, up_h int, up_v int, {GEOMETRY}, error string"
 
 
+def decode_row(row: dict) -> np.ndarray:
+    """The coefficients of an interval (a row of INTERVAL), MCU by MCU, in each part by part and row by row (Q11); ValueError names the damage."""
+    plan = []
+    for part in row["parts"]:
+        if not part["dc"] or not part["ac"]:
+            raise ValueError("missing_huffman_table")
+        dc, ac = (_table(part[k]["counts"], part[k]["symbols"]) for k in ("dc", "ac"))
+        plan += [(part["comp"], dc, ac)] * (part["v"] * part["h"])
+    return decode_interval(row["data"], plan, row["mcus"])
+
+
+def places(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, block_y, block_x) of each block of an interval."""
+    one = np.array([(k, p["v"], y, p["h"], x) for k, p in enumerate(row["parts"]) for y in range(p["v"]) for x in range(p["h"])], np.int64).reshape(-1, 5)
+    unit = np.repeat(np.arange(row["mcus"]) + row["first_mcu"], len(one))
+    where, across = np.tile(one, (row["mcus"], 1)), row["mcus_across"]
+    return where[:, 0], unit // across * where[:, 1] + where[:, 2], unit % across * where[:, 3] + where[:, 4]
+
+
 def decode(intervals: DataFrame) -> DataFrame:
     """The columns of BLOCK for every block; a damaged interval gives one row with `error` instead.
 
-    intervals: the columns of INTERVAL. A component has h by v blocks in each MCU, row by row (Q11); up_h and up_v say how
+    intervals: the columns of INTERVAL. A component has h by v blocks in each MCU; up_h and up_v say how
     far its samples are spread. Rows come out interval by interval, so memory is bounded by an interval.
     """
-    columns = ["image_id", "first_mcu", "mcus", "mcus_across", "width", "height", "h_max", "v_max", "comps", "parts", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                yield _decode_row(batch.slice(i, 1).to_pylist()[0])
+                yield _block_rows(batch.slice(i, 1).to_pylist()[0])
+
+    return intervals.select(*COLUMNS).mapInArrow(run, BLOCK)
+
+
+def errors(intervals: DataFrame) -> DataFrame:
+    """image_id and error of every damaged interval."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                try:
+                    decode_row(row)
+                except ValueError as e:
+                    found.append((row["image_id"], str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["image_id", "error"])
 
-    return intervals.select(*columns).mapInArrow(run, BLOCK)
+    return intervals.select(*COLUMNS).mapInArrow(run, "image_id string, error string")
 
 
-def _decode_row(row: dict) -> pa.RecordBatch:
+def _block_rows(row: dict) -> pa.RecordBatch:
     int32, array = pa.int32(), pa.list_(pa.int32())
     schema = pa.schema([("image_id", pa.string()), ("comp", int32), ("block_y", int32), ("block_x", int32), ("coef", array), ("q", array), ("up_h", int32), ("up_v", int32), ("width", int32), ("height", int32), ("h_max", int32), ("v_max", int32), ("comps", int32), ("error", pa.string())])
     try:
-        plan, places = [], []
-        for k, part in enumerate(row["parts"]):
-            if not part["dc"] or not part["ac"]:
-                raise ValueError("missing_huffman_table")
-            dc, ac = (_table(part[k]["counts"], part[k]["symbols"]) for k in ("dc", "ac"))
-            for y in range(part["v"]):
-                for x in range(part["h"]):
-                    plan.append((part["comp"], dc, ac))
-                    places.append((k, part["v"], y, part["h"], x))
-        blocks = decode_interval(row["data"], plan, row["mcus"])
+        blocks = decode_row(row)
     except ValueError as e:
         return pa.RecordBatch.from_pylist([{"image_id": row["image_id"], "error": str(e)}], schema=schema)
-    unit = np.repeat(np.arange(row["mcus"]) + row["first_mcu"], len(plan))
-    where = np.tile(np.array(places, np.int64).reshape(-1, 5), (row["mcus"], 1))
-    across, n = row["mcus_across"], len(blocks)
-    of_part = lambda key: np.array([p[key] for p in row["parts"]], np.int32)[where[:, 0]]
+    part, block_y, block_x = places(row)
+    n = len(blocks)
+    of_part = lambda key: np.array([p[key] for p in row["parts"]], np.int32)[part]
     lists = lambda flat: pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * n + 1, 64), int32), pa.array(flat.astype(np.int32).ravel()))
     made = {
-        "image_id": pa.array([row["image_id"]] * n, pa.string()), "comp": of_part("comp"), "block_y": unit // across * where[:, 1] + where[:, 2], "block_x": unit % across * where[:, 3] + where[:, 4],
-        "coef": lists(np.array(blocks, np.int32)), "q": lists(np.array([p["q"] for p in row["parts"]])[where[:, 0]]), "up_h": of_part("up_h"), "up_v": of_part("up_v"), "error": pa.nulls(n, pa.string()),
+        "image_id": pa.array([row["image_id"]] * n, pa.string()), "comp": of_part("comp"), "block_y": block_y, "block_x": block_x,
+        "coef": lists(blocks), "q": lists(np.array([p["q"] for p in row["parts"]])[part]), "up_h": of_part("up_h"), "up_v": of_part("up_v"), "error": pa.nulls(n, pa.string()),
     } | {k: np.full(n, row[k], np.int32) for k in ("width", "height", "h_max", "v_max", "comps")}
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f in schema for x in [made[f.name]]], schema=schema)

@@ -24,12 +24,13 @@ def parse(images: DataFrame) -> DataFrame:
 
     The hop goes from marker to marker by segment lengths, as a fold inside one row: there is no exchange, no recursion
     limit, and an embedded stream inside a payload is not taken for segments. A start-of-scan's `data` holds
-    the bytes up to the marker that ends its entropy-coded data.
+    the bytes up to the marker that ends its entropy-coded data. The fold's state is a few numbers and a string of places, which
+    is cut into segments once at its end, so a step doesn't copy the segments before.
     """
     content = F.col("content")
     n = F.octet_length(content)
-    none = F.array().cast(f"array<{_SEG}>")
-    start = F.struct(F.lit(2).alias("pos"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("fault"), none.alias("segs"))
+    state = lambda pos, done, fault, places: F.struct(pos.cast("int").alias("pos"), done.alias("done"), fault.cast("string").alias("fault"), places.alias("places"))
+    start = state(F.lit(2), F.lit(False), F.lit(None), F.lit(""))
 
     def step(acc):
         pos = acc["pos"]
@@ -44,35 +45,42 @@ def parse(images: DataFrame) -> DataFrame:
             F.when(pos >= n, "no_end_of_image").when(code.isNull(), "truncated").when((h["lead"] != 0xFF) | (code == 0), "no_marker")
             .when(fill | alone, F.lit(None)).when(length.isNull(), "truncated").when(length < 2, "bad_length").when(pos + 2 + length > n, "truncated").cast("string")
         )
-        place = F.struct(F.when(alone, pos + 2).otherwise(pos + 4).alias("off"), F.when(alone, 0).otherwise(length - 2).alias("len"), fault.alias("fault"))
-
-        def take(at):
-            after = at["off"] + at["len"]
-            data = F.when(code == M.SOS, entropy_data(after))
-            return B.let(data, lambda d: going(at, after, d))
-
-        def going(at, after, data):
-            seg = F.struct(F.size(acc["segs"]).alias("seq"), code.alias("code"), at["off"].alias("off"), at["len"].alias("len"), B.slice_bytes(content, at["off"], at["len"]).alias("payload"), data.alias("data")).cast(_SEG)
-            after = (after + F.coalesce(F.octet_length(data), F.lit(0))).cast("int")
-            return F.struct(after.alias("pos"), (code == M.EOI).alias("done"), F.lit(None).cast("string").alias("fault"), F.concat(acc["segs"], F.array(seg)).alias("segs"))
+        end = F.when(alone, pos + 2).otherwise(pos + 2 + length)
+        after = F.when(code == M.SOS, entropy_end(end)).otherwise(end)
 
         def settle(at):
-            ended = F.struct(pos.alias("pos"), F.lit(True).alias("done"), at["fault"].alias("fault"), acc["segs"].alias("segs"))
-            skipped = F.struct((pos + 1).alias("pos"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("fault"), acc["segs"].alias("segs"))
-            return F.when(at["fault"].isNotNull(), ended).when(fill, skipped).otherwise(take(at))
+            taken = F.concat(acc["places"], F.concat_ws(":", pos, at["end"], at["after"]), F.lit(","))
+            return (
+                F.when(at["fault"].isNotNull(), state(pos, F.lit(True), at["fault"], acc["places"]))
+                .when(fill, state(pos + 1, F.lit(False), F.lit(None), acc["places"]))
+                .otherwise(state(at["after"], code == M.EOI, F.lit(None), taken))
+            )
 
-        return B.let(place, settle)
+        ends = F.when(fault.isNull() & ~fill, F.struct(end.alias("end"), after.alias("after")))
+        return B.let(F.struct(fault.alias("fault"), ends.alias("ends")), lambda at: settle({"fault": at["fault"], "end": at["ends"]["end"], "after": at["ends"]["after"]}))
 
-    def entropy_data(after):
+    def entropy_end(after):
         rest = B.latin(F.substring(content, after + 1, n))
-        return B.let(rest, lambda r: B.let(F.regexp_instr(r, F.lit(_END_OF_SCAN)), lambda stop: B.slice_bytes(content, after, F.when(stop > 0, stop - 1).otherwise(F.length(r)))))
+        return B.let(F.regexp_instr(rest, F.lit(_END_OF_SCAN)), lambda stop: F.when(stop > 0, after + stop - 1).otherwise(n))
+
+    def segment(place, seq):
+        def made(at):
+            pos, end, after = (F.get(at, k) for k in range(3))
+            code = B.byte_at(content, pos + 1)
+            off = F.when(M.is_segment(code), pos + 4).otherwise(pos + 2)
+            data = F.when(code == M.SOS, B.slice_bytes(content, end, after - end))
+            return F.struct(seq.alias("seq"), code.alias("code"), off.alias("off"), (end - off).alias("len"), B.slice_bytes(content, off, end - off).alias("payload"), data.alias("data")).cast(_SEG)
+
+        return B.let(F.split(place, ":").cast("array<int>"), made)
 
     # No more steps than there are FF bytes that aren't stuffed, and one that sees the end.
     lead = F.regexp_count(B.latin(content), F.lit("\\xFF(?!\\x00)"))
-    state = F.when(has_magic(), B.fold(lead + 1, start, step))
-    rows = B.once(images, __s=state)
+    hop = F.when(has_magic(), B.fold(lead + 1, start, step))
+    rows = B.once(images, __s=hop)
     fault = F.when(F.col("__s").isNull(), "no_start_of_image").when(F.col("__s.fault").isNotNull(), F.col("__s.fault")).when(~F.col("__s.done"), "no_end_of_image")
-    return rows.withColumn("fault", fault).withColumn("segs", F.coalesce("__s.segs", none)).drop("__s")
+    places = F.filter(F.split("__s.places", ","), lambda x: x != "")
+    segs = F.coalesce(F.transform(places, segment), F.array().cast(f"array<{_SEG}>"))
+    return B.once(rows, fault=fault, segs=segs).drop("__s")
 
 
 def segments(parsed: DataFrame) -> DataFrame:
@@ -88,9 +96,10 @@ def groups(segs: DataFrame) -> DataFrame:
 
 def first_only(segs: DataFrame) -> DataFrame:
     """The first segment of each code that a frame may have once, and all of the others."""
-    single = segs.where(M.is_singleton(F.col("code"))).groupBy("image_id", "code").agg(F.min_by(F.struct("seq", "off", "len"), "seq").alias("s"))
-    many = segs.where(~M.is_singleton(F.col("code"))).select("image_id", "code", "seq", "off", "len")
-    return single.select("image_id", "code", "s.seq", "s.off", "s.len").unionByName(many)
+    # One group a repeated segment, one a code for the others, so the segments are parsed once.
+    which = F.when(M.is_singleton(F.col("code")), -1).otherwise(F.col("seq"))
+    kept = segs.groupBy("image_id", "code", which.alias("__which")).agg(F.min(F.struct("seq", "off", "len")).alias("s"))
+    return kept.select("image_id", "code", "s.seq", "s.off", "s.len")
 
 
 def of_code(segs: DataFrame, code: int) -> DataFrame:

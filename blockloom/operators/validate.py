@@ -11,7 +11,10 @@ from . import markers as M
 
 
 def describe(parsed: DataFrame) -> DataFrame:
-    """parsed with `frame` (the last baseline frame), `scan_list`, `quants`, `huffmans`, and `error` (null: decodable)."""
+    """parsed with `frame` (the last baseline frame), `scan_list`, `quants`, `huffmans`, and `error` (null: decodable).
+
+    A stream without an end-of-image marker is decodable if its scans hold all components.
+    """
     of = lambda code: F.filter("segs", lambda s: s["code"] == code)
     other = F.exists("segs", lambda s: s["code"].between(0xC1, 0xCF) & ~s["code"].isin(0xC4, 0xC8, 0xCC))
     rows = B.once(parsed, __sof=F.try_element_at(of(M.SOF0), F.lit(-1))["payload"], __other=other)
@@ -31,6 +34,7 @@ def describe(parsed: DataFrame) -> DataFrame:
         .when(F.size("scan_list") == 0, "no_scan")
         .when(F.exists("scan_list", lambda s: (F.size(s["scan"]["components"]) == 0) | F.exists(s["scan"]["components"], lambda c: ~F.array_contains(ids, c["id"]))), "scan_component_not_in_frame")
         .when(F.exists("scan_list", lambda s: ~_true((s["scan"]["ss"] == 0) & (s["scan"]["se"] == 63) & (s["scan"]["ah"] == 0) & (s["scan"]["al"] == 0))), "unsupported_scan")
+        .when(F.exists(ids, lambda i: ~F.exists("scan_list", lambda s: F.exists(s["scan"]["components"], lambda c: c["id"] == i))), F.coalesce(F.when(F.col("fault").isNotNull(), "truncated"), F.lit("missing_scan")))
         .when(F.exists("quants", lambda t: t["t"]["pq"] != 0), "quant_not_8_bit")
         .when(F.exists("frame.components", lambda c: ~F.exists("quants", lambda t: t["t"]["tq"] == c["tq"])), "missing_quant_table")
     )

@@ -1,8 +1,9 @@
 """Images to pixels in one plan.
 
 Headers are folded inside each image's row, scans are cut into restart intervals, and these are decoded, dequantized and
-transformed batch by batch: all of it narrow, without an exchange. The one exchange is that of raster assembly, by
-tile, a key that is spread evenly however large an image is.
+transformed batch by batch: all of it narrow, without an exchange. A scan of all components has whole MCUs, so its pixels
+are made in the decoding task. Images whose components come in separate scans have one exchange, raster assembly by
+tile, a key that is spread evenly however large an image is; a block goes there as 64 bytes.
 """
 
 from __future__ import annotations
@@ -64,65 +65,144 @@ def intervals(described: DataFrame) -> DataFrame:
     return pieces.select("image_id", start.cast("int").alias("first_mcu"), count.cast("int").alias("mcus"), "mcus_across", "width", "height", "h_max", "v_max", "comps", "parts", B.destuff(F.encode("piece", B.LATIN)).alias("data"))
 
 
-def samples(decoded: DataFrame) -> DataFrame:
-    """decoded blocks with px (64 samples 0..255) in place of coef and q."""
-    ready = decoded.where("error IS NULL").drop("error")
-    values = ready.withColumn("coef", blocks.dezigzag(blocks.dequantize(F.col("coef"), F.col("q")))).drop("q")
-    shifted = blocks.idct(values).withColumn("px", blocks.level_shift(F.col("px")))
-    return shifted.withColumn("px", F.transform("px", lambda v: F.least(F.greatest(F.floor(v + 0.5), F.lit(0)), F.lit(255)).cast("int")))
+PIXEL = "image_id string, y int, x int, r int, g int, b int"
+TILE = f"image_id string, tile_y int, tile_x int, {huffman.GEOMETRY}, comp int, up_h int, up_v int, y int, x int, px binary"
+#: MCUs whose pixels are made at once.
+UNITS = 2048
+
+
+def _rgb(planes: list[np.ndarray]) -> list[np.ndarray]:
+    if len(planes) == 1:
+        return planes * 3
+    y, b, r = planes[0].astype(np.float64), planes[1] - 128.0, planes[2] - 128.0
+    return [np.clip(np.floor(c + 0.5), 0, 255) for c in (y + 1.402 * r, y - 0.344136 * b - 0.714136 * r, y + 1.772 * b)]
+
+
+def _spread(plane: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A plane [..., v * 8, h * 8] of samples on height by width pixels, by repetition (Q24)."""
+    tall, wide = plane.shape[-2:]
+    return plane[..., (np.arange(height) * tall // height)[:, None], np.arange(width) * wide // width]
+
+
+def _pixel_rows(image_id: str, y: np.ndarray, x: np.ndarray, rgb: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([image_id] * len(y), pa.string()), *(pa.array(c.astype(np.int32)) for c in (y, x, *rgb))], names=["image_id", "y", "x", "r", "g", "b"])
+
+
+def _whole_mcus(row: dict) -> Iterator[pa.RecordBatch]:
+    """The pixels of an interval of a scan of all components."""
+    try:
+        coefs = huffman.decode_row(row)
+    except ValueError:
+        return  # a row of image_errors
+    single = len(row["parts"]) == 1
+    height, width = (8, 8) if single else (8 * row["v_max"], 8 * row["h_max"])
+    each = [p["v"] * p["h"] for p in row["parts"]]
+    quants = np.concatenate([np.array([p["q"]] * n) for p, n in zip(row["parts"], each, strict=True)])
+    for start in range(0, row["mcus"], UNITS):
+        n = min(UNITS, row["mcus"] - start)
+        own = coefs[start * len(quants) : (start + n) * len(quants)]
+        px = blocks.samples(own, np.tile(quants, (n, 1))).reshape(n, len(quants), 8, 8)
+        planes: list[np.ndarray] = [px[:0]] * row["comps"]
+        for k, part in enumerate(row["parts"]):
+            first = sum(each[:k])
+            grid = px[:, first : first + each[k]].reshape(n, part["v"], part["h"], 8, 8)
+            planes[part["comp"]] = _spread(grid.transpose(0, 1, 3, 2, 4).reshape(n, part["v"] * 8, part["h"] * 8), height, width)
+        unit = row["first_mcu"] + start + np.arange(n)
+        y = np.broadcast_to((unit // row["mcus_across"] * height)[:, None, None] + np.arange(height)[:, None], (n, height, width))
+        x = np.broadcast_to((unit % row["mcus_across"] * width)[:, None, None] + np.arange(width), (n, height, width))
+        inside = (y < row["height"]) & (x < row["width"])
+        yield _pixel_rows(row["image_id"], y[inside], x[inside], [c[inside] for c in _rgb(planes)])
+
+
+def whole_pixels(found: DataFrame) -> DataFrame:
+    """PIXEL rows of intervals whose scans hold all components, without an exchange."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield from _whole_mcus(batch.slice(i, 1).to_pylist()[0])
+
+    return found.select(*huffman.COLUMNS).mapInArrow(run, PIXEL)
+
+
+def tiles(found: DataFrame) -> DataFrame:
+    """TILE rows, one a block, of intervals whose scans hold some of the components."""
+    names = [f.split()[0] for f in TILE.split(", ")]
+
+    def rows(row: dict) -> Iterator[pa.RecordBatch]:
+        try:
+            coefs = huffman.decode_row(row)
+        except ValueError:
+            return
+        part, block_y, block_x = huffman.places(row)
+        for start in range(0, len(coefs), UNITS):
+            own = slice(start, start + UNITS)
+            n = len(part[own])
+            of_part = lambda key: np.array([p[key] for p in row["parts"]])[part[own]]  # noqa: B023, E731
+            px = blocks.samples(coefs[own], np.array([p["q"] for p in row["parts"]])[part[own]])
+            up_v, up_h = of_part("up_v"), of_part("up_h")
+            made = {"tile_y": block_y[own] // up_v, "tile_x": block_x[own] // up_h, "comp": of_part("comp"), "up_h": up_h, "up_v": up_v, "y": block_y[own] % up_v, "x": block_x[own] % up_h}
+            made |= {k: np.full(n, row[k]) for k in ("width", "height", "h_max", "v_max", "comps")}
+            columns = {k: pa.array(v.astype(np.int32)) for k, v in made.items()} | {"image_id": pa.array([row["image_id"]] * n, pa.string()), "px": pa.array([x.tobytes() for x in px], pa.binary())}
+            yield pa.RecordBatch.from_arrays([columns[k] for k in names], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield from rows(batch.slice(i, 1).to_pylist()[0])
+
+    return found.select(*huffman.COLUMNS).mapInArrow(run, TILE)
 
-PIXEL = "image_id string, y int, x int, r int, g int, b int"
 
+def assembled(blocks_of: DataFrame) -> DataFrame:
+    """PIXEL rows of TILE rows (Q24, Q25): tiles are assembled, chroma is spread by repetition, edges are cropped.
 
-def pixels(shot: DataFrame) -> DataFrame:
-    """image_id, y, x, r, g and b of every pixel (Q24, Q25): tiles are assembled, chroma is spread by repetition, edges are cropped."""
-    tile_y, tile_x = (F.col("block_y") / F.col("up_v")).cast("int"), (F.col("block_x") / F.col("up_h")).cast("int")
+    A pixel that a component has no block for is left out: its interval is a row of image_errors.
+    """
     keys = ["image_id", "tile_y", "tile_x", "width", "height", "h_max", "v_max", "comps"]
-    own = F.struct("comp", "up_h", "up_v", (F.col("block_y") % F.col("up_v")).alias("y"), (F.col("block_x") % F.col("up_h")).alias("x"), "px")
-    tiles = shot.withColumn("tile_y", tile_y).withColumn("tile_x", tile_x).groupBy(*keys).agg(F.collect_list(own).alias("parts"))
+    own = F.struct("comp", "up_h", "up_v", "y", "x", "px")
+    tiled = blocks_of.groupBy(*keys).agg(F.collect_list(own).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 256):
-                made = [_tile(t) for t in batch.slice(start, 256).to_pylist()]
-                made = [m for m in made if len(m[1])]
-                if not made:
-                    continue
-                ids = pa.concat_arrays([pa.array([m[0]] * len(m[1]), pa.string()) for m in made])
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate([m[k] for m in made]).astype(np.int32)) for k in range(1, 6))], names=["image_id", "y", "x", "r", "g", "b"])
+                made = [m for m in map(_tile, batch.slice(start, 256).to_pylist()) if len(m)]
+                if made:
+                    yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
 
-    return tiles.mapInArrow(run, PIXEL)
+    return tiled.mapInArrow(run, PIXEL)
 
 
-def _tile(t: dict) -> tuple:
+def _tile(t: dict) -> pa.RecordBatch:
     height, width = 8 * t["v_max"], 8 * t["h_max"]
-    planes = np.zeros((t["comps"], height, width))
+    grids = [np.zeros((0, 0))] * t["comps"]
     for part in t["parts"]:
-        tall, wide = t["v_max"] // part["up_v"], t["h_max"] // part["up_h"]
-        block = np.array(part["px"]).reshape(8, 8).repeat(tall, 0).repeat(wide, 1)
-        y, x = part["y"] * 8 * tall, part["x"] * 8 * wide
-        planes[part["comp"], y : y + 8 * tall, x : x + 8 * wide] = block
+        c = part["comp"]
+        if not grids[c].size:
+            grids[c] = np.full((8 * part["up_v"], 8 * part["up_h"]), np.nan)
+        grids[c][8 * part["y"] : 8 * part["y"] + 8, 8 * part["x"] : 8 * part["x"] + 8] = np.frombuffer(part["px"], np.uint8).reshape(8, 8)
+    planes = [_spread(g, height, width) if g.size else np.full((height, width), np.nan) for g in grids]
     y, x = np.mgrid[0:height, 0:width]
     y, x = y + t["tile_y"] * height, x + t["tile_x"] * width
-    inside = (y < t["height"]) & (x < t["width"])
-    if t["comps"] == 1:
-        rgb = [planes[0]] * 3
-    else:
-        b, r = planes[1] - 128, planes[2] - 128
-        rgb = [planes[0] + 1.402 * r, planes[0] - 0.344136 * b - 0.714136 * r, planes[0] + 1.772 * b]
-    return (t["image_id"], y[inside], x[inside], *(np.clip(np.floor(c[inside] + 0.5), 0, 255) for c in rgb))
+    there = (y < t["height"]) & (x < t["width"]) & ~np.isnan(planes).any(0)
+    return _pixel_rows(t["image_id"], y[there], x[there], _rgb([p[there] for p in planes]))
+
+
+def pixels(found: DataFrame) -> DataFrame:
+    """PIXEL rows of intervals."""
+    whole = F.size("parts") == F.col("comps")
+    return whole_pixels(found.where(whole)).unionByName(assembled(tiles(found.where(~whole))))
 
 
 def decode_images(images: DataFrame) -> DataFrame:
     """PIXEL rows of all images that can be decoded; the others are in `image_errors`."""
-    return pixels(samples(huffman.decode(intervals(describe(images)))))
+    return pixels(intervals(describe(images)))
 
 
 def image_errors(images: DataFrame) -> DataFrame:
     """image_id, stage and code of every image with a damaged header or scan."""
     described = describe(images)
-    broken = huffman.decode(intervals(described)).where("error IS NOT NULL").select("image_id", F.lit("scan").alias("stage"), F.col("error").alias("code")).distinct()
+    broken = huffman.errors(intervals(described)).select("image_id", F.lit("scan").alias("stage"), F.col("error").alias("code")).distinct()
     return validate.errors(described).unionByName(broken)
 
 

@@ -171,6 +171,45 @@ def test_streams_of_many_segments(spark):
     assert decode.image_errors(df).count() == 0
 
 
+def test_color_of_whole_mcus_with_restarts(spark):
+    quant, factors = [1] * 64, [(2, 2), (1, 1), (1, 1)]
+    coefs = gray_blocks(6 * 6, 5)
+    for restart in (0, 1, 2):
+        shot = decode.decode_images(images(spark, c=encode.color_image(coefs, 45, 30, quant, factors, restart))).collect()
+        assert len(shot) == 45 * 30
+        samples = [expected([c], quant, 8, 8) for c in coefs]
+        for r in shot[::37]:
+            unit, y, x = r.y // 16 * 3 + r.x // 16, r.y % 16, r.x % 16
+            luma = samples[unit * 6 + y // 8 * 2 + x // 8][y % 8, x % 8]
+            cb, cr = (samples[unit * 6 + k][y // 2, x // 2] - 128 for k in (4, 5))
+            want = (luma + 1.402 * cr, luma - 0.344136 * cb - 0.714136 * cr, luma + 1.772 * cb)
+            assert (r.r, r.g, r.b) == tuple(int(np.clip(np.floor(v + 0.5), 0, 255)) for v in want)
+
+
+def test_no_exchange_for_whole_mcus(spark):
+    df = images(spark, g=encode.gray_image(gray_blocks(4), 16, 16, [1] * 64))
+    found = decode.intervals(decode.describe(df))
+    plan = decode.whole_pixels(found)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and decode.whole_pixels(found).count() == 256
+
+
+def test_missing_scans_give_no_pixels(spark):
+    own = color_image([gray_blocks(6, s) for s in (1, 2, 3)], [1] * 64, 20, 13)
+    starts = [i for i in range(len(own) - 1) if own[i : i + 2] == b"\xff\xda"]
+    cases = {"one": own[: starts[1]], "two": own[: starts[2]], "ended": own[: starts[1]] + b"\xff\xd9", "within": own[: starts[2] + 14], "whole": own, "unended": own[:-2]}
+    df = images(spark, **cases)
+    assert {r.image_id: (r.stage, r.code) for r in decode.image_errors(df).collect()} == {"one": ("header", "truncated"), "two": ("header", "truncated"), "ended": ("header", "missing_scan"), "within": ("scan", "truncated_scan")}
+    assert {r.image_id: r["count"] for r in decode.decode_images(df).groupBy("image_id").count().collect()} == {"whole": 260, "unended": 260}
+
+
+def test_any_number_of_tables_in_a_segment(spark):
+    quant = b"".join(bytes([t % 4, *[t + 1] * 64]) for t in range(16))
+    huff = b"".join(bytes([t % 2 << 4 | t // 2, *encode.DC_LUMA[0], *encode.DC_LUMA[1]]) for t in range(16))
+    segs = segments.segments(segments.parse(images(spark, s=b"\xff\xd8" + encode.segment(0xDB, quant) + encode.segment(0xC4, huff) + b"\xff\xd9")))
+    assert [t.q[0] for t in headers.quant_tables(segs).collect()] == list(range(1, 17))
+    assert [(t["class"], t.dest) for t in headers.huffman_tables(segs).collect()] == [(t % 2, t // 2) for t in range(16)]
+
+
 def test_stream_of_files(spark, tmp_path):
     from blockloom.streaming import stream_frames, stream_images
 

@@ -1,4 +1,8 @@
+import subprocess
+import sys
+
 import pytest
+from conftest import ROOT
 from oracle import DATA, same
 
 from blockloom.queries import ORACLE_SQL, QUERIES
@@ -18,3 +22,10 @@ def test_entry(spark):
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("missing", ["blockloom.llm", "blockloom.llm.queries", "zstandard", "xxhash", "corpus_pipeline"])
+def test_queries_without_what_is_optional(missing):
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) >= len(QUERIES) and int(out[1]) >= len(ORACLE_SQL) and out[2] == "False"
