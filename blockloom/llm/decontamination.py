@@ -8,8 +8,9 @@ values of windows are minima over blocks of the smallest partition, merged upwar
 `functions(t)` values are a candidate; a candidate is verified by the share of the item's distinct shingles that the
 whole document holds. Candidates missed: under MISS for a passage in one place.
 
-The items are the query set. They are held in blocks of at most BLOCK_ITEMS, chosen by hash, and each block is searched
-for in one pass over the documents, without any exchange of texts; more items mean more passes, not more memory.
+The items are the query set. They are read in blocks of at most BLOCK_ITEMS items and BLOCK_BYTES of text, or one longer item, and each block is searched
+for in one pass over the documents, without any exchange of texts; more items mean more passes, not more memory. An index takes about
+ten bytes for each byte of its items, so what is broadcast is bounded, too.
 
 Defined results: texts and items of fewer than five words (null and empty ones among them) have no shingle and match
 nothing; equal items and equal documents each give rows of their own; an empty table gives no row. Other columns are ignored,
@@ -32,7 +33,7 @@ from .text import mix, shingles, words
 WIDTH = 5
 THRESHOLD = 0.8
 MISS = 1e-5
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 
 
 def functions(threshold: float) -> int:
@@ -121,21 +122,22 @@ def _cut(offsets: np.ndarray, size: int, rows: np.ndarray | None = None) -> tupl
     return offsets[row] + within * size, row, blocks
 
 
-def indexes(items: DataFrame, threshold: float = THRESHOLD, id_col: str = "item_id", text_col: str = "text", block_items: int = BLOCK_ITEMS) -> Iterator[Index]:
-    """The items' index, block by block; a block is what is held in memory and sent to the executors at once."""
-    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = max(1, math.ceil(1.1 * rows.count() / block_items))
-    for b in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).toArrow()
-        ids, sets = [], []
-        for batch in pieces(iter(own.to_batches()), "text"):
-            x, offsets = shingles(*words(batch.column(1)), WIDTH)
-            for i, name in enumerate(batch.column(0).to_pylist()):
-                if offsets[i + 1] > offsets[i]:
-                    ids.append(name)
-                    sets.append(np.unique(x[offsets[i] : offsets[i + 1]]))
-        if ids:
+def indexes(items: DataFrame, threshold: float = THRESHOLD, id_col: str = "item_id", text_col: str = "text", block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
+    """The items' index, block by block in the order of the table; a block is what is held in memory and sent to the executors at once."""
+    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("octet_length(text) > 0")
+    ids, sets, size = [], [], 0
+    for row in rows.toLocalIterator():  # a partition at a time
+        length = len(row["text"].encode())
+        if ids and (len(ids) == block_items or size + length > block_bytes):
             yield Index(ids, sets, threshold)
+            ids, sets, size = [], [], 0
+        x, _ = shingles(*words(pa.array([row["text"]])), WIDTH)
+        if len(x):
+            ids.append(row["id"])
+            sets.append(np.unique(x))
+            size += length
+    if ids:
+        yield Index(ids, sets, threshold)
 
 
 def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -145,7 +147,7 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col
     spark = docs.sparkSession
     out = None
     for index in indexes(items, threshold, item_id_col, item_text_col):
-        sent = spark.sparkContext.broadcast(index)  # at most BLOCK_ITEMS items
+        sent = spark.sparkContext.broadcast(index)  # at most BLOCK_ITEMS items and BLOCK_BYTES
         item_type = pa.array(index.ids).type
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, item_type=item_type) -> Iterator[pa.RecordBatch]:

@@ -188,6 +188,8 @@ def test_containment_in_blocks_and_edges(spark):
     assert [r[:2] for r in whole] == [(k, k) for k in range(30)]
     blocks = list(decontamination.indexes(items, block_items=7))
     assert len(blocks) > 1 and sorted(i for b in blocks for i in b.ids) == list(range(30))
+    small = list(decontamination.indexes(items.unionByName(items.where("item_id = 3")), block_bytes=500))
+    assert len(small) > 5 and sorted(i for b in small for i in b.ids) == sorted([*range(30), 3])
     kept = decontamination.drop_leaks(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [50, 51]
     assert decontamination.find(docs, items.limit(0)).count() == 0
