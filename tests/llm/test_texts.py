@@ -354,6 +354,20 @@ def test_mixing_shares_and_edges(spark):
     assert all(isinstance(r.copy, int) for r in out)
 
 
+def test_mixing_of_rare_and_many_sources(spark, monkeypatch):
+    rows = [(k, f"t{k}", "big" if k else "rare") for k in range(3000)] + [(5000, "n", None)]
+    docs = documents(spark, rows).withColumn("__source", F.lit("x")).withColumn("__parts", F.lit("y")).withColumn("__row", F.lit(1))
+    whole = sorted((r.doc_id, r.copy, r.shuffle_key, r.text) for r in mixing.mix_sources(docs).collect())
+    assert sum(r[0] == 0 for r in whole) == brute_copies(0, 3001 / 3)
+    assert [r[1] for r in whole if r[0] == 0] == list(range(1, 1 + brute_copies(0, 3001 / 3)))
+    monkeypatch.setattr(mixing, "SLICE", 4)
+    assert sorted((r.doc_id, r.copy, r.shuffle_key, r.text) for r in mixing.mix_sources(docs).collect()) == whole
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    out = mixing.mix_sources(docs)
+    assert sorted((r.doc_id, r.copy, r.shuffle_key, r.text) for r in out.collect()) == whole
+    assert out.columns == [*docs.columns, "copy", "shuffle_key"]
+
+
 # 10
 def test_token_counts_equal_the_library(spark):
     from tokenizers import Tokenizer
