@@ -6,7 +6,8 @@ a word after its context is count(context word) / count(context) for the longest
 `min_count` times or more, times BACKOFF for each word of context given up; a single word has its share of all words. A document's
 score is the sum of the logarithms of its words' scores.
 
-N-grams never reach over a document's ends. Keys are the top KEY_BITS of 64-bit hashes.
+N-grams never reach over a document's ends. Keys are the top KEY_BITS of 64-bit hashes, unverified: of n distinct n-grams about
+n * n / 2 ** (KEY_BITS + 1) pairs have one count together, a hundred or so of five thousand million.
 
 Defined results: texts without words (null and empty ones among them) have n_words 0, log_score 0 and mean_log_score
 null; rows with equal doc_id are scored one by one; an empty table gives no row; other columns are ignored.
@@ -22,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import SENT, Chunks, deltas, exchange, pack, pack_ids, range_count, ranges, sender, small, unpack, unpack_ids
+from .tables import growth
 from .text import shingles, words
 
 ORDER = 3
 BACKOFF = 0.4
 KEY_BITS = 56
-#: Words for each key range.
+#: Words for each key range, times tables.growth.
 RANGE_WORDS = 1_500_000
 
 
@@ -88,7 +90,7 @@ def score_documents(docs: DataFrame, min_count: int = 2, id_col: str = "doc_id",
 
     chunks = Chunks(docs, text_col, make, "ids binary, words binary, n_words long", [id_col, text_col])
     total = chunks.total("n_words")
-    count = range_count(total, RANGE_WORDS)
+    count = range_count(total, RANGE_WORDS * growth(docs))
 
     def emit(row: dict) -> Iterator[tuple[int, bytes]]:
         hashes, offsets = chunk_words(row)

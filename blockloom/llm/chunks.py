@@ -4,7 +4,8 @@ A corpus is written once as a table of *chunks*, a few megabytes of whole docume
 its distinct keys once, packed in one blob per key range; the task that owns a range sees all chunks' entries for
 it, and answers each blob with a blob in the same order. So a key that a third of all documents hold
 costs one entry per chunk, no task holds more than a range, and positions never travel. Answers are joined to the chunk table,
-which its bucketing spares another exchange.
+which its bucketing spares another exchange. There are as many blobs as chunks times ranges, so both grow with the root of the input
+(tables.growth) as long as executors have the memory, and the blobs in proportion to it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import units
-from .tables import deal, pieces, scratch_path
+from .tables import deal, growth, pieces, scratch_path
 
 CHUNK_BYTES = 4 << 20
 
@@ -81,8 +82,9 @@ def ranges(keys: np.ndarray, count: int) -> list[tuple[int, int, int]]:
 class Chunks:
     """A chunk table: chunk (long) and what `make` returns for the documents of each chunk."""
 
-    def __init__(self, docs: DataFrame, size_col: str, make: Callable[[list[pa.RecordBatch]], dict], fields: str, columns: list[str], limit: int = CHUNK_BYTES):
+    def __init__(self, docs: DataFrame, size_col: str, make: Callable[[list[pa.RecordBatch]], dict], fields: str, columns: list[str], limit: int | None = None):
         """make: gets the batches of a chunk (columns of docs as named), returns a value for each of `fields`."""
+        limit = limit or int(CHUNK_BYTES * growth(docs))
         names = [f.split()[0] for f in fields.split(", ")]
         types = {"binary": pa.binary(), "long": pa.int64()}
         schema = pa.schema([("chunk", pa.int64()), *((f.split()[0], types[f.split()[1]]) for f in fields.split(", "))])

@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import SENT, Chunks, deltas, exchange, pack, pack_ids, range_count, ranges, sender, small, unpack, unpack_ids
-from .tables import pieces
+from .tables import growth, pieces
 from .text import Runs, flat_bytes, mix, window_hashes
 
 LENGTH = 50
 K = 24
 HOT = 20_000
-#: Bytes of text for each key range of steps 1 and 2, and of step 3.
+#: Bytes of text for each key range of steps 1 and 2, and of step 3, times tables.growth.
 RANGE_BYTES, WINDOW_BYTES = 16 << 20, 2 << 20
 #: Bytes of text that windows are found in at once, unless a document is longer.
 PIECE_BYTES = 1 << 18
@@ -428,8 +428,8 @@ class Repeats:
         columns = [id_col, text_col, *keep]
         self.store = Chunks(docs, text_col, make, fields, columns, **({"limit": chunk_bytes} if chunk_bytes else {}))
         total = self.store.total("n_bytes")
-        first = range_count(total, RANGE_BYTES)
-        self.ranges = range_count(total, WINDOW_BYTES)
+        first = range_count(total, RANGE_BYTES * growth(docs))
+        self.ranges = range_count(total, WINDOW_BYTES * growth(docs, 2.0))
         base = self.store.table.select("chunk", "ids", "text", "windows")
         step1 = exchange(base.mapInArrow(sender(_send_anchors(first)), SENT), _answer_anchors(hot)).checkpoint()
         step2 = exchange(self._rows(step1).mapInArrow(sender(_send_variants(first)), SENT), _answer_variants).checkpoint()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -74,6 +75,15 @@ def drop_scratch(spark: SparkSession) -> None:
     files.delete(path, True)
 
 
+def growth(df: DataFrame, most: float = 4.0) -> float:
+    """By how much units of work grow with the input: the root of its size in GB, from 1 up to `most`.
+
+    The size is the optimizer's estimate, so nothing is read; where it has none the answer is 1.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return 1.0 if size >= 1 << 60 else min(max(math.sqrt(size / (1 << 30)), 1.0), most)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes in `column`; a longer value makes a batch of its own."""
     for batch in batches:

@@ -427,3 +427,13 @@ def test_scan_equals_a_single_walk():
         starts = np.array([x & token_counts.STARTS_HERE for x in marks]) > 0
         starts[:-1] |= np.array([x & token_counts.STARTS_BEFORE for x in marks[1:]], int) > 0
         assert np.array_equal(token_counts.run_transducer(kinds), starts)
+
+
+def test_units_of_work_grow_with_the_root_of_the_input(spark, tmp_path):
+    from blockloom.llm.tables import growth
+
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    small = spark.read.parquet(str(tmp_path / "t"))
+    assert growth(small) == 1.0 and growth(documents(spark, [(1, "x")])) == 1.0
+    large = small.crossJoin(spark.range(1 << 21))  # the optimizer's estimate of the product is over 16 GB
+    assert growth(large) == 4.0 and growth(large, 2.0) == 2.0
