@@ -22,6 +22,7 @@ def to_sample(x: Column) -> Column:
     return clamp(F.floor(x + 0.5)).cast("int")
 
 
+# The conversion's weights of ITU-T T.871, and single-precision weights for gray.
 def ycbcr_to_rgb(y: Column, cb: Column, cr: Column) -> Column:
     """struct<r,g,b> in doubles, not yet rounded or clamped (M6)."""
     b, r = cb - 128, cr - 128

@@ -20,6 +20,7 @@ from ..operators import blocks, huffman, segments, validate
 from ..operators import markers as M
 
 _RESTART = "\\xFF[\\xD0-\\xD7]"
+_START_OF_SCAN = "\\xFF\\xDA"
 
 
 def describe(images: DataFrame) -> DataFrame:
@@ -188,15 +189,16 @@ def _tile(t: dict) -> pa.RecordBatch:
     return _pixel_rows(t["image_id"], y[there], x[there], _rgb([p[there] for p in planes]))
 
 
-def pixels(found: DataFrame) -> DataFrame:
-    """PIXEL rows of intervals."""
-    whole = F.size("parts") == F.col("comps")
-    return whole_pixels(found.where(whole)).unionByName(assembled(tiles(found.where(~whole))))
-
-
 def decode_images(images: DataFrame) -> DataFrame:
-    """PIXEL rows of all images that can be decoded; the others are in `image_errors`."""
-    return pixels(intervals(describe(images)))
+    """PIXEL rows of all images that can be decoded; the others are in `image_errors`.
+
+    The images are read once for scans of all components and once for separate scans. The second time only those are
+    parsed whose bytes hold two start-of-scan markers, as images of separate scans must; compressed images are smaller than what an exchange of their blocks would move.
+    """
+    whole = F.size("parts") == F.col("comps")
+    several = F.regexp_count(B.latin(F.col("content")), F.lit(_START_OF_SCAN)) > 1
+    shot = whole_pixels(intervals(describe(images)).where(whole))
+    return shot.unionByName(assembled(tiles(intervals(describe(images.where(several))).where(~whole))))
 
 
 def image_errors(images: DataFrame) -> DataFrame:

@@ -143,6 +143,10 @@ def byte_destuff(spark, sf_dir):
     return _raw(spark, sf_dir).select("vec_id", F.hex(B.destuff(F.col("raw"))).alias("destuffed"), F.hex(B.destuff(B.stuff(F.col("raw")))).alias("round_trip"))
 
 
+def bit_stream(spark, sf_dir):
+    return _raw(spark, sf_dir).select("vec_id", F.array_join(B.bits(F.col("raw")), "").alias("bits"))
+
+
 def nibble_split(spark, sf_dir):
     x = F.pmod(F.col("p_size"), F.lit(256))
     return _read(spark, sf_dir, "part").select("p_partkey", B.high_nibble(x).alias("hi"), B.low_nibble(x).alias("lo"))
@@ -370,7 +374,7 @@ def scan_errors(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        frame_magic, marker_scan, marker_groups, marker_universe, coding_processes, segment_payload, bit_expand, byte_stuff, byte_destuff, nibble_split, code_lengths, canonical_codes, stream_segments, first_segments,
+        frame_magic, marker_scan, marker_groups, marker_universe, coding_processes, segment_payload, bit_expand, bit_stream, byte_stuff, byte_destuff, nibble_split, code_lengths, canonical_codes, stream_segments, first_segments,
         frame_header, scan_header, quant_table, table_counts, all_eight_bit, scan_data, quant_lookup, dezigzag, dequantize, idct, level_shift, ycbcr_to_rgb, rgb_to_gray, rgba_planes, decode_image, image_errors,
         segment_groups, marker_process, many_quant_tables, many_huffman_tables, huffman_lookup, header_errors, colour_image, separate_scans, scan_errors,
     )
@@ -419,6 +423,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, i::INT AS i, {_BITS} AS bits FROM b""",
     "byte_stuff": f"WITH {_RAW} SELECT vec_id, replace(replace(h, 'FF ', 'FF 00 '), ' ', '') AS stuffed FROM raw",
     "byte_destuff": f"WITH {_RAW} SELECT vec_id, replace(replace(h, 'FF 00 ', 'FF '), ' ', '') AS destuffed, replace(h, ' ', '') AS round_trip FROM raw",
+    "bit_stream": f"WITH {_RAW} SELECT vec_id, unhex(replace(h, ' ', ''))::BIT::VARCHAR AS bits FROM raw",
     "nibble_split": "SELECT p_partkey, ((p_size % 256) >> 4)::INT AS hi, ((p_size % 256) & 15)::INT AS lo FROM part",
     "code_lengths": f"WITH {_ANNEX_K} SELECT 'k' AS image_id, 0 AS class, dest, sym AS ord, sym, len FROM lengths",
     "canonical_codes": f"""WITH {_ANNEX_K}, used AS (SELECT *, coalesce(sum(1::BIGINT << (16 - len)) OVER (PARTITION BY dest ORDER BY sym ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS u FROM lengths)
