@@ -89,12 +89,8 @@ def _pixel_rows(image_id: str, y: np.ndarray, x: np.ndarray, rgb: list[np.ndarra
     return pa.RecordBatch.from_arrays([pa.array([image_id] * len(y), pa.string()), *(pa.array(c.astype(np.int32)) for c in (y, x, *rgb))], names=["image_id", "y", "x", "r", "g", "b"])
 
 
-def _whole_mcus(row: dict) -> Iterator[pa.RecordBatch]:
+def _whole_mcus(row: dict, coefs: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The pixels of an interval of a scan of all components."""
-    try:
-        coefs = huffman.decode_row(row)
-    except ValueError:
-        return  # a row of image_errors
     single = len(row["parts"]) == 1
     height, width = (8, 8) if single else (8 * row["v_max"], 8 * row["h_max"])
     each = [p["v"] * p["h"] for p in row["parts"]]
@@ -119,9 +115,9 @@ def whole_pixels(found: DataFrame) -> DataFrame:
     """PIXEL rows of intervals whose scans hold all components, without an exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                yield from _whole_mcus(batch.slice(i, 1).to_pylist()[0])
+        for row, coefs in huffman.decoded(batches):
+            if not isinstance(coefs, ValueError):  # else a row of image_errors
+                yield from _whole_mcus(row, coefs)
 
     return found.select(*huffman.COLUMNS).mapInArrow(run, PIXEL)
 
@@ -130,11 +126,7 @@ def tiles(found: DataFrame) -> DataFrame:
     """TILE rows, one a block, of intervals whose scans hold some of the components."""
     names = [f.split()[0] for f in TILE.split(", ")]
 
-    def rows(row: dict) -> Iterator[pa.RecordBatch]:
-        try:
-            coefs = huffman.decode_row(row)
-        except ValueError:
-            return
+    def rows(row: dict, coefs: np.ndarray) -> Iterator[pa.RecordBatch]:
         part, block_y, block_x = huffman.places(row)
         for start in range(0, len(coefs), UNITS):
             own = slice(start, start + UNITS)
@@ -148,9 +140,9 @@ def tiles(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([columns[k] for k in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                yield from rows(batch.slice(i, 1).to_pylist()[0])
+        for row, coefs in huffman.decoded(batches):
+            if not isinstance(coefs, ValueError):
+                yield from rows(row, coefs)
 
     return found.select(*huffman.COLUMNS).mapInArrow(run, TILE)
 

@@ -171,6 +171,39 @@ def test_streams_of_many_segments(spark):
     assert decode.image_errors(df).count() == 0
 
 
+def test_lanes_equal_single_intervals():
+    rng = random.Random(8)
+    tables = [huffman.Table(*encode.DC_LUMA), huffman.Table(*encode.AC_LUMA), huffman.Table(*encode.DC_CHROMA)]
+    data, plans, units = [], [], []
+    for k in range(300):
+        comps = 1 + k % 3
+        plan = [(c, tables[0], tables[1]) for c in range(comps)]
+        n = rng.randrange(0, 6)
+        own = encode.entropy(gray_blocks(n * comps, k), plan=tuple(range(comps))).replace(b"\xff\0", b"\xff")
+        if k % 4 == 1:
+            own = own[: rng.randrange(len(own) + 1)]
+        if k % 4 == 2 and own:
+            own = bytes(rng.randrange(256) for _ in own)
+        if k % 50 == 3:
+            own = b"\xff" * 40
+        if k % 9 == 0:
+            plan = [(c, tables[2], tables[1]) for c in range(comps)]
+        data.append(own)
+        plans.append(plan)
+        units.append(n + (k % 7 == 0))
+
+    def single(*own):
+        try:
+            return huffman.decode_interval(*own).tolist()
+        except ValueError as e:
+            return str(e)
+
+    want = [single(d, p, u) for d, p, u in zip(data, plans, units, strict=True)]
+    got = [str(x) if isinstance(x, ValueError) else x.tolist() for x in huffman.decode_lanes(data, plans, units)]
+    assert got == want
+    assert {x for x in want if isinstance(x, str)} == {"truncated_scan", "bad_code", "bad_run"}
+
+
 def test_color_of_whole_mcus_with_restarts(spark):
     quant, factors = [1] * 64, [(2, 2), (1, 1), (1, 1)]
     coefs = gray_blocks(6 * 6, 5)
