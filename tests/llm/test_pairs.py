@@ -181,6 +181,18 @@ def test_containment_equals_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_containment_of_scattered_items_in_very_long_texts():
+    rng = random.Random(11)
+    items = [sentences(60, 40_000 + k, 10**7).split() for k in range(60)]
+    index = decontamination.Index(list(range(60)), [np.unique(text.shingles(*text.words(pa.array([" ".join(w)])))[0]) for w in items], 0.8)
+    texts = []
+    for w in items:  # two pieces, far apart, hold 54 of the 56 shingles that the item has at most
+        cut = rng.randrange(20, 40)
+        texts.append(f"{sentences(9000, rng.random(), 10**7)} {' '.join(w[: cut + 2])} {sentences(9000, rng.random(), 10**7)} {' '.join(w[cut - 2 :])} {sentences(2000, rng.random(), 10**7)}")
+    rows, found, _ = index.search(pa.array(texts))
+    assert list(zip(rows.tolist(), found.tolist(), strict=True)) == [(k, k) for k in range(60)]
+
+
 def test_containment_in_blocks_and_edges(spark):
     items = spark.createDataFrame([(k, sentences(20, k)) for k in range(30)], "item_id long, text string")
     docs = documents(spark, [(k, sentences(300, 99) + " " + sentences(20, k)) for k in range(30)] + [(50, "clean words only in this one"), (51, None)])

@@ -123,7 +123,7 @@ def test_contractions_are_negations():
 
 # 3
 def test_backoff_equals_brute_force(spark):
-    rows = [(k, sentences(random.Random(k).randrange(0, 80), k, 25)) for k in range(60)] + [(70, None), (71, ""), (72, "one"), (73, "one two"), (74, "one two"), (74, "one two")]
+    rows = [(k, sentences(random.Random(k).randrange(0, 80), k, 25)) for k in range(60)] + [(70, None), (71, ""), (72, "one"), (73, "one two"), (74, "one two"), (74, "one two"), (75, sentences(60_000, 75, 25))]
     counts = [Counter(), Counter(), Counter()]
     for _, t in rows:
         w = words(t)
@@ -141,7 +141,7 @@ def test_backoff_equals_brute_force(spark):
                 factor += math.log(0.4)
         return factor + math.log(counts[0][(w[i],)] / total)
 
-    want = sorted((d, len(w), round(sum(score(w, i) for i in range(len(w))), 5)) for d, t in rows for w in [words(t)])
+    want = sorted((d, len(w), round(math.fsum(score(w, i) for i in range(len(w))), 5)) for d, t in rows for w in [words(t)])
     got = sorted((r.doc_id, r.n_words, round(r.log_score, 5)) for r in backoff.score_documents(documents(spark, rows)).collect())
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-5)
