@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,33 @@ def _root(spark: SparkSession):
     return path, files
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     path, _ = _root(spark)
-    return f"{path.toString()}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{path.toString()}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _scopes:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths that are made inside, in order; those still in the list at the end are deleted, so take out what is read later."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not made]
+        delete(spark, made)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    _, files = _root(spark)
+    for path in paths:
+        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

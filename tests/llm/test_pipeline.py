@@ -45,6 +45,19 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert not {r.doc_id for r in got} & bad
 
 
+def test_scopes_delete_what_is_left_in_them(spark):
+    from pathlib import Path
+
+    from blockloom.llm.tables import delete, materialize, scope
+
+    with scope(spark) as made:
+        first, second = (materialize(spark.range(n), "t") for n in (3, 5))
+        kept = made.pop()
+    gone = Path(made[0].removeprefix("file:"))
+    assert second.count() == 5 and not gone.exists() and Path(kept.removeprefix("file:")).exists()
+    delete(spark, [kept])
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     fixture(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
