@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm import decontamination, mixing, near_text, suffixes, toxicity
-from blockloom.llm.tables import materialize
+from blockloom.llm.tables import delete, materialize, scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after another; a stage's own tables, and its input, are deleted once its result is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scope(spark) as made:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            written = made.pop()
+        delete(spark, last)
+        last = [written]
     return docs
