@@ -51,13 +51,15 @@ DOUBTFUL = frozenset("discussion legal copyright related social search popular t
 SWALLOWS = frozenset("script style".split())
 #: Tags that no control or embedded object holds: one of them before the closing tag shows that it belongs to another.
 OUTSIDE = "article|main|body|section|h1"
+#: These hold anything.
+HOLDS_ALL = frozenset("template noscript".split())
 END_SIGNS = re.compile(r"[.,;:!?。，、！？…]")
 #: Headings of what readers, editors or sellers add to an article: they go with what follows in their element up to a heading of the same or a higher level.
 ADDED = re.compile(r"(?:\d+ )?(?:reader )?(?:comments?|kommentare?|commentaires?|comentarios?|responses?|replies|leave a (?:comment|reply)|related(?: (?:articles|posts|stories))?|share(?: this)?|advertisement)(?: ?\(\d+\))?:?", re.I)
 #: Those that stand between paragraphs, too: below an earlier block of the same element they go alone, as the article goes on.
 BETWEEN = re.compile(r"(?:share(?: this)?|advertisement)(?: ?\(\d+\))?:?", re.I)
 #: Notices outside an article element: an owner or a year, not a sentence on copyright.
-LEGAL = re.compile(r"(?:copyright\s*)?(?:©|\(c\))\s.*|copyright\s*,?\s*(?:\d{4}|by\b).*|(?:.*[\s.,|])?all rights(?: are)? reserved\W*", re.I | re.S)
+LEGAL = re.compile(r"(?:copyright\s*)?©.*|copyright\s*\(c\).*|\(c\)\s*\d{4}\b.*|copyright\s*,?\s*(?:\d{4}|by\b).*|(?:.*[\s.,|])?all rights(?: are)? reserved\W*", re.I | re.S)
 #: A path is content from this share of the page's highest smoothed ratio.
 SHARE = 0.12
 #: Weights of a block's neighbours at distance 0, 1, 2.
@@ -104,7 +106,7 @@ def _closing(tag: str) -> re.Pattern:
 
 @cache
 def _foreign(tag: str) -> re.Pattern:
-    return re.compile(rf"<(?:{re.escape(tag)}|{OUTSIDE})\b", re.I) if tag not in ("object", "svg", "template", "noscript") else re.compile(rf"<(?:{OUTSIDE})\b", re.I)
+    return re.compile(rf"<(?:{re.escape(tag)}|{OUTSIDE})\b", re.I) if tag not in ("object", "svg") else re.compile(rf"<(?:{OUTSIDE})\b", re.I)
 
 
 def blocks(page: str) -> list[Block]:
@@ -147,7 +149,7 @@ def blocks(page: str) -> list[Block]:
             if not m:
                 unclosed.add(raw)
                 position = len(page) if raw in SWALLOWS else position
-            elif raw in SWALLOWS or not _foreign(raw).search(page, position, m.start()):
+            elif raw in SWALLOWS | HOLDS_ALL or not _foreign(raw).search(page, position, m.start()):
                 position = m.end()
             raw = ""
         m = TOKEN.search(page, position)

@@ -198,6 +198,7 @@ LONG_A, LONG_B = "This is the story as it was told, with all that belongs to it;
         (f"<article><p>{LONG_A}</p><h2>Responses</h2><section><h2>What they did</h2><p>{LONG_B}</p></section></article>", [LONG_A, "What they did", LONG_B]),
         *((f"<div><p>{LONG_A}</p><{tag}>Go<p>{LONG_B}</p><p>{LONG_A}</p></div>", [LONG_A, LONG_B, LONG_A]) for tag in "select textarea object canvas svg math video template".split()),
         (f"<div><button>Menu<section><p>{LONG_A}</p><p>{LONG_B}</p></section><button>Send</button></div>", [LONG_A, LONG_B]),
+        (f"<article><p>{LONG_A}</p><template><article><h1>no</h1><p>{LONG_B}</p></article></template><noscript><section>no</section></noscript><p>{LONG_B}</p></article>", [LONG_A, LONG_B]),
         (f"<div><p>{LONG_A}</p><p>{LONG_B} <button>Copy</button><select><option>no</select><svg><title>no</title></svg></p></div>", [LONG_A, LONG_B]),
         (f'<article><h1>T</h1><p>{LONG_A}</p><section class="discussion"><h2>Discussion</h2><p>{LONG_B}</p></section></article>', ["T", LONG_A, "Discussion", LONG_B]),
         (f'<article><p>{LONG_A}</p><div class="related"><a href=x>One more</a> <a href=y>Two more</a></div><p>{LONG_B}</p></article>', [LONG_A, LONG_B]),
@@ -209,6 +210,12 @@ def test_nothing_of_the_article_is_lost(page, want):
     assert got == [x.strip() for x in want]
 
 
+@pytest.mark.parametrize(("line", "notice"), [("©2020 The Paper", True), ("(c) 2019 us", True), ("Copyright (c) by us", True), ("Copyright 2021, me.", True), ("All rights reserved.", True), ("The Paper, 2020. All rights reserved", True), ("(c) the third case, as it was held, goes on.", False), ("Copyright is a right, as it was held.", False), ("All rights reserved to the king were lost, in the end.", False)])
+def test_notices_outside_an_article(line, notice):
+    got = html_text.main_text(f"<div><p>{LONG_A}</p><p>{line}</p><p>{LONG_B}</p></div>").split("\n")
+    assert got == [LONG_A.strip(), *([] if notice else [line]), LONG_B.strip()]
+
+
 def generated_page(rng):
     """A page whose names say nothing, and its article's blocks."""
     name = lambda: "".join(rng.choice("bcdfghklmnprtvz") for _ in range(6))
