@@ -189,8 +189,10 @@ def decode_images(images: DataFrame) -> DataFrame:
     """
     whole = F.size("parts") == F.col("comps")
     several = F.regexp_count(B.latin(F.col("content")), F.lit(_START_OF_SCAN)) > 1
-    shot = whole_pixels(intervals(describe(images)).where(whole))
-    return shot.unionByName(assembled(tiles(intervals(describe(images.where(several))).where(~whole))))
+    described = describe(images)
+    shot = whole_pixels(intervals(described).where(whole))
+    # The optimizer moves the second filter below the parse.
+    return shot.unionByName(assembled(tiles(intervals(described.where(several)).where(~whole))))
 
 
 def image_errors(images: DataFrame) -> DataFrame:

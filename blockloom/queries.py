@@ -305,8 +305,14 @@ def _wide(c, k):
     return F.when(k == 0, c % 1000).when(F.floor(k / 20) % 2 == 1, F.lit(0)).otherwise(F.greatest(F.least(c, F.lit(1023)), F.lit(-1023)))
 
 
+def _dealt(df):
+    """df over all tasks: a small table is one file, and encoding its rows takes far longer than reading them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "vec_id")
+
+
 def _encoded(spark, sf_dir):
-    return encode.encode_blocks(_coefs(spark, sf_dir).select("vec_id", F.transform("coef", _wide).alias("coef")), "vec_id", "coef", _quant())
+    rows = _dealt(_coefs(spark, sf_dir)).select("vec_id", F.transform("coef", _wide).alias("coef"))
+    return encode.encode_blocks(rows, "vec_id", "coef", _quant())
 
 
 def decode_image(spark, sf_dir):
@@ -339,7 +345,7 @@ def _many_blocks(spark, sf_dir, n):
     turned = lambda b: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda z: F.get("coef", (z + b * 5) % 64))
     narrow = lambda c, z: F.when(z == 0, c % 60).when(c % 3 == 0, F.lit(0)).otherwise(c % 24)
     each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.transform(turned(b), narrow))
-    return _coefs(spark, sf_dir).select("vec_id", each.alias("blocks"))
+    return _dealt(_coefs(spark, sf_dir)).select("vec_id", each.alias("blocks"))
 
 
 def colour_image(spark, sf_dir):
